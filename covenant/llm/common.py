@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def text_chunks(
     A single longer text makes a slice of its own; no text is cut.
     """
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(text)).to_pylist()
+        sizes = pc.binary_length(batch.column(text)).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if held and held + (n or 0) > limit:
