@@ -187,3 +187,15 @@ def near_duplicates(
     return own.join(named, "fp").select(
         "doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id", "n_links"
     )
+
+
+def representatives(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
+    """The documents, all columns, that name their component; one row an id.
+
+    A component without any id keeps its rows, as nothing tells them apart.
+    """
+    found = near_duplicates(docs, id_column=id_column, **options)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep"))
+    kept = docs.join(keep.distinct(), F.col(id_column).eqNullSafe(F.col("_keep")), "left_semi")
+    named = kept.where(F.col(id_column).isNotNull()).dropDuplicates([id_column])
+    return named.unionByName(kept.where(F.col(id_column).isNull()))
