@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, simhash, token_counts, toxicity
+from . import langid, packing, simhash, tiff, token_counts, toxicity, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.round_trip(read(spark, sf_dir, "documents"))
+
+
+def op5_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(read(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified"
+    )
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -38,6 +48,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op3_tiff_media": op3_tiff_media,
+        "op5_warc_reader": op5_warc_reader,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_language_id": op9_language_id,
@@ -45,5 +57,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+ORACLE = {
+    "op5_warc_reader": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html FROM pages
+        ), d AS (
+            SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p
+        ), f AS (
+            SELECT *, CASE WHEN payload_bytes >= 100
+                THEN min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS first_id
+            FROM d
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id <> first_id THEN first_id END AS refers_to,
+            TRUE AS verified
+        FROM f""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
