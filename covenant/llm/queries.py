@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, simhash, tiff, token_counts, toxicity, warc
+from . import ann, langid, packing, simhash, tiff, token_counts, toxicity, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_tiff_media": op3_tiff_media,
         "op5_warc_reader": op5_warc_reader,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
+        "op7_anisotropic_ann": op7_anisotropic_ann,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_language_id": op9_language_id,
         "op10_token_counts": op10_token_counts,
