@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, langid, packing, simhash, tiff, token_counts, toxicity, warc
+from . import ann, chat_format, langid, packing, simhash, tiff, token_counts, toxicity, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +19,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_format.swapped_answers(read(spark, sf_dir, "conversations"))
+    found = chat_format.preference_examples(turns)
+    return found.select(
+        "pair_id", "n_common", "prompt", "chosen", "rejected", "identical",
+        chat_format.mask_text(F.col("chosen_mask")).alias("chosen_mask"),
+        chat_format.mask_text(F.col("rejected_mask")).alias("rejected_mask"),
+    )
+
+
 def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.round_trip(read(spark, sf_dir, "documents"))
 
@@ -52,6 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_preference_format": op2_preference_format,
         "op3_tiff_media": op3_tiff_media,
         "op5_warc_reader": op5_warc_reader,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
@@ -63,6 +75,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 ORACLE = {
+    "op2_preference_format": """
+        WITH t AS (
+            SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role,
+                replace(coalesce(text, ''), '<|im_', '<|' || chr(8203) || 'im_') AS text
+            FROM conversations
+        ), a AS (
+            SELECT conv_id, max(turn) AS last_turn, arg_max(text, turn) AS answer
+            FROM t WHERE role = 'assistant' GROUP BY conv_id
+        ), n AS (
+            SELECT a.conv_id, a.last_turn, coalesce(o.answer, '') AS other
+            FROM a LEFT JOIN a AS o ON o.conv_id = xor(a.conv_id, 1)
+        ), b AS (
+            SELECT t.conv_id, t.role, t.text,
+                CASE WHEN t.role = 'assistant' AND t.turn = n.last_turn THEN n.other ELSE t.text END AS other,
+                row_number() OVER (PARTITION BY t.conv_id ORDER BY t.turn, t.role, t.text) AS pos
+            FROM t LEFT JOIN n USING (conv_id)
+        ), d AS (
+            SELECT *, coalesce(min(CASE WHEN text <> other THEN pos END) OVER (PARTITION BY conv_id) - 1,
+                count(*) OVER (PARTITION BY conv_id)) AS n_common,
+                '<|im_start|>' || role || chr(10) AS head, '<|im_end|>' || chr(10) AS tail,
+                CASE WHEN role = 'assistant' THEN ':1' ELSE ':0' END AS flag
+            FROM b
+        )
+        SELECT conv_id AS pair_id, CAST(min(n_common) AS INTEGER) AS n_common,
+            coalesce(string_agg(head || text || tail, '' ORDER BY pos) FILTER (WHERE pos <= n_common), '') AS prompt,
+            coalesce(string_agg(head || text || tail, '' ORDER BY pos) FILTER (WHERE pos > n_common), '') AS chosen,
+            coalesce(string_agg(head || other || tail, '' ORDER BY pos) FILTER (WHERE pos > n_common), '') AS rejected,
+            count(*) FILTER (WHERE pos > n_common) = 0 AS identical,
+            coalesce(string_agg(length(head) || ':0,' || length(text || tail) || flag, ',' ORDER BY pos)
+                FILTER (WHERE pos > n_common), '') AS chosen_mask,
+            coalesce(string_agg(length(head) || ':0,' || length(other || tail) || flag, ',' ORDER BY pos)
+                FILTER (WHERE pos > n_common), '') AS rejected_mask
+        FROM d GROUP BY conv_id""",
     "op5_warc_reader": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS html FROM pages
