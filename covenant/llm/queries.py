@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, langid, packing, simhash, tiff, token_counts, toxicity, warc
+from . import ann, chat_format, gumbel, langid, packing, simhash, tiff, token_counts, toxicity, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op4_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gumbel.sampled_segmentations(read(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op5_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(read(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified"
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_preference_format": op2_preference_format,
         "op3_tiff_media": op3_tiff_media,
+        "op4_gumbel_segmentations": op4_gumbel_segmentations,
         "op5_warc_reader": op5_warc_reader,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_anisotropic_ann": op7_anisotropic_ann,
