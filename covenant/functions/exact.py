@@ -116,6 +116,8 @@ NUMERIC_TYPES = {"int", "integer", "float", "number", "decimal"}
 def component(x: Column | str, kind: str) -> Column:
     """A key component: numbers normalised, timestamps in UTC, all else verbatim."""
     x = _c(x)
+    if kind == "int":  # a 64-bit integer has one spelling
+        return x.cast("string")
     if kind in NUMERIC_TYPES:
         return normalized_number(x)
     return utc(x) if kind == "timestamp" else x.cast("string")
@@ -127,7 +129,8 @@ def key_of(columns: list[tuple[Column | str, str]]) -> Column:
     for x, kind in columns:
         parts.append(component(x, kind))
         known = known & _c(x).isNotNull()
-    quoted = [p if k in NUMERIC_TYPES - {"decimal"} else F.to_json(F.array(p)).substr(F.lit(2), F.char_length(F.to_json(F.array(p))) - 2) for p, (_, k) in zip(parts, columns)]
+    bare = NUMERIC_TYPES - {"decimal"}
+    quoted = [p if k in bare else F.regexp_replace(F.to_json(F.array(p)), r"^\[|\]$", "") for p, (_, k) in zip(parts, columns)]
     return F.when(known, F.concat(F.lit("["), F.concat_ws(",", *quoted), F.lit("]")))
 
 
