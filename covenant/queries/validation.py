@@ -189,12 +189,12 @@ def val_scoped(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH n AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'NAME' ELSE 'Name' END || (c_custkey % 700) AS name FROM customer),
+    """WITH n AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'NAME' ELSE 'Name' END || (c_custkey % 700) AS name FROM customer),
         g AS (SELECT lower('customer/' || name || '.json') AS fold, min('customer/' || name || '.json') AS first FROM n GROUP BY 1 HAVING count(*) > 1)
         SELECT 'warning' AS severity, 'PORTABILITY_COLLISION' AS code, 'customer/' || n.name || '.json' AS path, '' AS pointer, g.first AS observed
         FROM n JOIN g ON lower('customer/' || n.name || '.json') = g.fold WHERE 'customer/' || n.name || '.json' <> g.first"""
 )
 def val_portable_names(spark: SparkSession, d: str) -> DataFrame:
-    name = F.concat(F.when(F.col("c_custkey") % 5 == 0, "NAME").otherwise("Name"), (F.col("c_custkey") % 700).cast("string"))
+    name = F.concat(F.when(F.col("c_custkey") % 3 == 0, "NAME").otherwise("Name"), (F.col("c_custkey") % 700).cast("string"))
     rows = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("customer/"), name, F.lit(".json")).alias("_path"))
     return _short(v.folded_names(_table(rows, "customer", ("c_custkey",), (_int("c_custkey"),))))
