@@ -54,8 +54,8 @@ K, ALPHA, SEED = 2, 1.0, 17
 RANK_SHIFT = 10.0
 #: Log-weight of a character without a piece, below that of the last piece.
 UNKNOWN_PENALTY = 5.0
-#: Places of lattices that a worker remembers, and the longest chunk that shares them.
-CACHE, SHARED = 800_000, 40
+#: Small lattices that a worker remembers, and the longest that are made together.
+CACHE, SHORT = 350_000, 40
 #: Steps after which a walk takes a new random number.
 FRESH = 10
 MODEL = "piece_bpe_32k.model"
@@ -84,9 +84,9 @@ def uniform(key: np.ndarray, stream: int, counter: np.ndarray) -> np.ndarray:
 class Lattices:
     """The small lattices of a model, in arrays that walks index.
 
-    A state is a place in a chunk's lattice, known by what stands before it; its edges
-    are the pieces that may end there, longest first, each with its probability, the
-    state before it and its id.
+    A state is a place in a chunk's lattice, reached from its end; its edges are the
+    pieces that may end there, each with its probability, the state before it and its
+    id. A chunk's start is a state without edges.
     """
 
     def __init__(self, path: str, alpha: float = ALPHA):
@@ -113,21 +113,64 @@ class Lattices:
             self.cut = re.compile(r".+", re.S)
         else:
             self.cut = re.compile(f"▁*[{inner}]+|▁+|.", re.S) if inner else re.compile(".", re.S)
+        self._plant()
         #: several ids for one character, known by negative numbers
         self.groups: list[tuple[int, ...]] = []
         self.group_of: dict[str, int] = {}
         self.clear()
 
+    def _plant(self) -> None:
+        """The pieces as a trie: children in a hash table that arrays are looked up in."""
+        node_of, weight, ids = {"": 0}, [0.0], [-1]
+        for p in self.pieces:
+            for n in range(1, len(p) + 1):
+                if p[:n] not in node_of:
+                    node_of[p[:n]] = len(weight)
+                    w, i = self.pieces.get(p[:n], (0.0, -1))
+                    weight.append(w)
+                    ids.append(i)
+        self.node_weight, self.node_id = np.asarray(weight), np.asarray(ids, dtype=np.int32)
+        keys = np.asarray([node_of[p[:-1]] << 21 | ord(p[-1]) for p in node_of if p], dtype=np.int64)
+        children = np.asarray([n for p, n in node_of.items() if p], dtype=np.int32)
+        self.slots = 1 << (4 * max(len(keys), 1)).bit_length()
+        self.slot_key, self.slot_child = np.full(self.slots, -1, dtype=np.int64), np.zeros(self.slots, dtype=np.int32)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = self.slot_key[at[left]] < 0
+            put = left[free]
+            self.slot_key[at[put]] = keys[put]  # of several for one slot the last stays
+            done = self.slot_key[at[left]] == keys[left]
+            self.slot_child[at[left[done]]] = children[left[done]]
+            left = left[~done]
+            at[left] = (at[left] + 1) & (self.slots - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * _GOLD) >> np.uint64(40)).astype(np.int64) & (self.slots - 1)
+
+    def _child(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """Children by characters; 0 for none."""
+        key = node.astype(np.int64) << 21 | char
+        at = self._slot(key)
+        held = self.slot_key[at]
+        out = np.where(held == key, self.slot_child[at], 0)
+        on = np.flatnonzero((held != key) & (held >= 0))
+        while len(on):
+            at[on] = (at[on] + 1) & (self.slots - 1)
+            held = self.slot_key[at[on]]
+            hit = held == key[on]
+            out[on[hit]] = self.slot_child[at[on[hit]]]
+            on = on[~hit & (held >= 0)]
+        return out
+
     def clear(self) -> None:
         self.start: dict[str, int] = {}
-        self._mass, self._before, self._ids, self._first, self._total = [], [], [], [], []
         self.q = np.zeros(1 << 16)
         self.before = np.zeros(1 << 16, dtype=np.int32)
         self.ids = np.zeros(1 << 16, dtype=np.int32)
         #: of each state its first edge; the next state's first edge ends them
         self.first = np.zeros(1 << 15, dtype=np.int32)
-        self.n_edges, self.n_states = 0, 1  # state 0: the start of any chunk
-        self.mass_of = [1.0]
+        self.n_edges = self.n_states = 0
 
     def _spelled(self, c: str) -> int:
         """The id of a character's single token, or the number of its group of ids."""
@@ -141,73 +184,104 @@ class Lattices:
                 self.group_of[c] = -len(self.groups)
         return self.group_of[c]
 
-    def _add(self, chunk: str) -> None:
-        """The forward pass of one chunk: the mass of every place in it.
-
-        A place is known by what stands before it, so chunks share the places of
-        their common beginnings. Long chunks share none: their masses are kept
-        relative to a place nearby, as they'd leave the range of doubles.
-        """
-        pieces, get, longest, known = self.pieces, self.pieces.get, self.longest, self.start
-        masses, befores, ids, firsts, totals = self._mass, self._before, self._ids, self._first, self._total
-        base, edges = self.n_states, self.n_edges
-        n, i = len(chunk), 0
-        shared = n <= SHARED
-        states, mass = [0], [1.0]
-        while shared and i < n:
-            state = known.get(chunk[: i + 1])
-            if state is None:
+    def _add(self, chunks: list[str]) -> None:
+        """The forward passes of many chunks, all of them a character further at a time."""
+        chunks = sorted(chunks, key=len)
+        sizes = np.asarray([len(c) for c in chunks])
+        chars = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        total, start = len(chars), np.cumsum(sizes) - sizes
+        room = np.repeat(start + sizes, sizes) - np.arange(total)  # characters up to the chunk's end
+        # edges: pieces walked down the trie from every place at once
+        begins, lengths, weights, ids = [], [], [], []
+        at, node = np.arange(total), np.zeros(total, dtype=np.int32)
+        for n in range(1, self.longest + 1):
+            node = self._child(node, chars[at + n - 1])
+            on = np.flatnonzero(node)
+            if n == 1:
+                lone = np.setdiff1d(at, at[on[self.node_id[node[on]] >= 0]], assume_unique=True)
+                if len(lone):  # characters without a piece
+                    begins.append(lone)
+                    lengths.append(np.ones(len(lone), dtype=np.int64))
+                    weights.append(np.full(len(lone), self.unknown))
+                    ids.append(np.asarray([self._spelled(chr(c)) for c in chars[lone].tolist()], dtype=np.int32))
+            at, node = at[on], node[on]
+            ends = np.flatnonzero(self.node_id[node] >= 0)
+            begins.append(at[ends])
+            lengths.append(np.full(len(ends), n))
+            weights.append(self.node_weight[node[ends]])
+            ids.append(self.node_id[node[ends]])
+            on = np.flatnonzero(room[at] > n)
+            at, node = at[on], node[on]
+            if not len(at):
                 break
-            i += 1
-            states.append(state)
-            mass.append(self.mass_of[state])
-        while i < n:
-            i += 1
-            states.append(base + len(firsts))
-            firsts.append(edges + len(masses))
-            total = 0.0
+        begin, weight, id_ = np.concatenate(begins), np.concatenate(weights), np.concatenate(ids)
+        end = begin + np.concatenate(lengths)
+        # a state for each place of a chunk, from its start (no edge) to its end
+        chunk = np.repeat(np.arange(len(chunks)), sizes)
+        shift = chunk[begin]
+        begin, end = begin + shift, end + shift
+        depth = end - (start + np.arange(len(chunks)))[shift]
+        order = np.argsort(depth * np.int64(total + len(chunks)) + end)
+        begin, end, weight, depth = begin[order], end[order], weight[order], depth[order]
+        heads = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
+        mass = np.ones(total + len(chunks))
+        levels = np.searchsorted(depth, np.arange(1, int(sizes.max()) + 2))
+        scale = weight.copy()
+        for lo, hi in zip(levels, levels[1:]):
+            scale[lo:hi] *= mass[begin[lo:hi]]
+            own = heads[np.searchsorted(heads, lo) : np.searchsorted(heads, hi)]
+            mass[end[own]] = np.add.reduceat(scale[lo:hi], own - lo)
+        q = scale / mass[end]
+        count = np.diff(np.append(heads, len(end)))
+        q[np.repeat(count, count) == 1] = 1.0
+        # edges in the order of their states
+        by_state = np.argsort(end, kind="stable")
+        n_edges = np.bincount(end, minlength=total + len(chunks))
+        self._put(q[by_state], begin[by_state], id_[order][by_state], n_edges)
+        ends = start + sizes + np.arange(len(chunks))
+        base = self.n_states - total - len(chunks)
+        self.start.update(zip(chunks, (ends + base).tolist()))
+
+    def _add_long(self, chunk: str) -> None:
+        """The forward pass of one long chunk, place by place.
+
+        Masses are kept relative to a place nearby, as they'd leave the range of doubles.
+        """
+        n, get, longest = len(chunk), self.pieces.get, self.longest
+        mass, q, before, ids, counts = [1.0], [], [], [], [0]
+        for i in range(1, n + 1):
+            found = []
             for j in range(i - longest if i > longest else 0, i):
                 hit = get(chunk[j:i])
                 if hit is not None:
-                    m = mass[j] * hit[0]
-                    total += m
-                    masses.append(m)
-                    befores.append(states[j])
-                    ids.append(hit[1])
-            if chunk[i - 1] not in pieces:
-                m = mass[i - 1] * self.unknown
-                total += m
-                masses.append(m)
-                befores.append(states[i - 1])
-                ids.append(self._spelled(chunk[i - 1]))
-            totals.append(total)
+                    found.append((mass[j] * hit[0], j, hit[1]))
+            if chunk[i - 1] not in self.pieces:
+                found.append((mass[i - 1] * self.unknown, i - 1, self._spelled(chunk[i - 1])))
+            total = sum(f[0] for f in found)
+            q += [f[0] / total for f in found] if len(found) > 1 else [1.0]
+            before += [f[1] for f in found]
+            ids += [f[2] for f in found]
+            counts.append(len(found))
             mass.append(total)
-            self.mass_of.append(total)
-            if shared:
-                known[chunk[:i]] = states[i]
-            elif total < 1e-200:  # only the last ``longest`` places are looked at again
+            if total < 1e-200:  # only the last ``longest`` places are looked at again
                 low = max(0, i + 1 - longest)
                 mass[low:] = [x / total for x in mass[low:]]
-        known[chunk] = states[n]
+        self._put(np.asarray(q), np.asarray(before), np.asarray(ids, dtype=np.int32), np.asarray(counts))
+        self.start[chunk] = self.n_states - 1
 
-    def _flush(self) -> None:
-        """Moves new lattices from lists to the arrays; masses become probabilities."""
+    def _put(self, q: np.ndarray, before: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Appends states with ``counts`` edges; ``before`` counts from the first of them."""
 
-        def put(array: np.ndarray, at: int, new) -> np.ndarray:
-            while at + len(new) > len(array):
-                array = np.concatenate([array, np.zeros(max(len(array) // 2, 1), array.dtype)])
+        def put(array: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
+            if at + len(new) > len(array):
+                array = np.concatenate([array, np.zeros(max(len(array) // 2, at + len(new) - len(array)), array.dtype)])
             array[at : at + len(new)] = new
             return array
 
         e, s = self.n_edges, self.n_states
-        first = np.asarray(self._first, dtype=np.int64)
-        count = np.diff(np.append(first, e + len(self._mass)))
-        q = np.asarray(self._mass) / np.repeat(self._total, count)
-        q[np.repeat(count, count) == 1] = 1.0
-        self.q, self.before, self.ids = put(self.q, e, q), put(self.before, e, self._before), put(self.ids, e, self._ids)
-        self.n_edges, self.n_states = e + len(q), s + len(first)
-        self.first = put(self.first, s, np.append(first, self.n_edges))
-        self._mass, self._before, self._ids, self._first, self._total = [], [], [], [], []
+        self.q, self.before, self.ids = put(self.q, e, q), put(self.before, e, before + s), put(self.ids, e, ids)
+        self.n_edges, self.n_states = e + len(q), s + len(counts)
+        self.first = put(self.first, s, np.concatenate([[e], e + np.cumsum(counts)]))
 
     def chunks(self, text: str | None) -> list[str]:
         return self.cut.findall(self.model.normalize(text)) if text else []
@@ -217,9 +291,12 @@ class Lattices:
         found = list(map(self.start.get, chunks))
         if None in found:
             new = dict.fromkeys(c for c, f in zip(chunks, found) if f is None)
+            short = [c for c in new if len(c) <= SHORT]
+            if short:
+                self._add(short)
             for c in new:
-                self._add(c)
-            self._flush()
+                if len(c) > SHORT:
+                    self._add_long(c)
             found = list(map(self.start.get, chunks))
         return np.asarray(found, dtype=np.int32)
 
