@@ -269,3 +269,40 @@ def lossless_convert(x: Column | str, source: str, target: str) -> Column:
     if target == "ulid":
         return F.when(F.upper(x).rlike(ULID), F.upper(x))
     return x
+
+
+# ---- keys of single values --------------------------------------------------
+
+
+def number_key_of(text: str) -> str:
+    """:func:`number_key` of one text, for literals and parameters."""
+    import re
+
+    if not re.match(NUMBER, text):
+        return "3" + text
+    value = Decimal(text)
+    if not value:
+        return "1"
+    digits = "".join(map(str, value.as_tuple().digits)).lstrip("0")
+    place = len(digits) + value.as_tuple().exponent
+    body = str(place + BIAS).rjust(WIDE, "0") + digits.rstrip("0")
+    if value > 0:
+        return "2" + body
+    return "0" + body.translate(str.maketrans("0123456789", "9876543210")) + "~"
+
+
+def instant_key_of(text: str) -> str:
+    """:func:`instant_key` of one text."""
+    import datetime as dt
+    import re
+
+    m = re.match(TIMESTAMP, text)
+    if not m:
+        return "2" + text
+    try:
+        at = dt.datetime.fromisoformat(text[:19].upper() + m[2].upper().replace("Z", "+00:00"))
+    except ValueError:
+        return "2" + text
+    fraction = (m[1] or "").rstrip("0")
+    seconds = int((at - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)).total_seconds())
+    return "1" + str(seconds + SECONDS_BIAS).rjust(12, "0") + ("" if fraction == "." else fraction)

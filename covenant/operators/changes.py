@@ -44,6 +44,8 @@ def _image(t: Table) -> Column:
 def _same(c: Contract, a: str, b: str, columns: list[str]) -> Column:
     out = F.lit(True)
     for n in columns:
+        if n.startswith("_"):  # about the file, not the row
+            continue
         kind = c.column(n).kind if c.has(n) else "string"
         out = out & exact.typed_equal(F.col(f"{a}.`{n}`"), F.col(f"{b}.`{n}`"), kind)
     return out
@@ -141,6 +143,8 @@ def _shaped(t: Table, new: DataFrame) -> DataFrame:
     if unknown:
         raise ChangeRefused("UNKNOWN_COLUMN", f"{t.name} has no column {unknown[0]!r}")
     kinds = {f.name: f.dataType for f in t.rows.schema}
+    if "_present" in kinds and "_present" not in new.columns:
+        new = new.withColumn("_present", F.array(*(F.lit(c) for c in new.columns)))
     return new.select(*((F.col(f"`{c}`") if c in new.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in t.rows.columns))
 
 

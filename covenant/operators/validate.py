@@ -38,10 +38,9 @@ class Table:
         return exact.key_of([(F.col(f"`{n}`"), self.contract.column(n).kind) for n in names])
 
     def path(self) -> Column:
-        if "_path" in self.rows.columns:
-            return F.col("_path")
         parts = [F.col(f"`{k}`").cast("string") for k in self.contract.key]
-        return F.concat(F.lit(self.name + "/"), F.concat_ws(",", *parts), F.lit(".json"))
+        spelled = F.concat(F.lit(self.name + "/"), F.concat_ws(",", *parts), F.lit(".json"))
+        return F.coalesce("_path", spelled) if "_path" in self.rows.columns else spelled
 
     def keys(self, columns: tuple[str, ...] | None = None) -> DataFrame:
         """``(table, path, key)`` of the rows that take part in a key."""

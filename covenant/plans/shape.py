@@ -162,8 +162,8 @@ class Shape:
             return {"type": null("object"), "additionalProperties": values.subschema()}
         return {
             "type": null("object"),
-            "properties": {k: m.subschema() for k, m in self.members.items()},
-            "required": [k for k, m in self.members.items() if m.n == self.objects],
+            "properties": {k: self.members[k].subschema() for k in sorted(self.members)},
+            "required": [k for k in sorted(self.members) if self.members[k].n == self.objects],
             "additionalProperties": False,
         }
 

@@ -28,7 +28,7 @@ def fn_string(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT c_custkey, abs(c_acctbal) AS a, sign(c_acctbal) AS s, round(c_acctbal, 1) AS r, ceil(c_acctbal) AS c, floor(c_acctbal) AS f,
+    """SELECT c_custkey, abs(c_acctbal) AS a, CAST(sign(c_acctbal) AS INTEGER) AS s, round(c_acctbal, 1) AS r, ceil(c_acctbal) AS c, floor(c_acctbal) AS f,
             trunc(c_acctbal) AS t, round(sqrt(abs(c_acctbal)), 6) AS q, round(log10(c_custkey + 1), 6) AS lg, round(ln(c_custkey + 1), 6) AS n,
             round(pow(c_nationkey, 2), 3) AS p, (c_custkey - 700) % 7 AS m, round(degrees(radians(c_nationkey)), 6) AS d,
             round(sin(c_nationkey) + cos(c_nationkey) + atan2(c_nationkey, 2), 6) AS trig, c_custkey // 7 AS whole,
