@@ -221,7 +221,7 @@ class Lattices:
         shift = chunk[begin]
         begin, end = begin + shift, end + shift
         depth = end - (start + np.arange(len(chunks)))[shift]
-        order = np.argsort(depth * np.int64(total + len(chunks)) + end)
+        order = np.argsort(depth * np.int64(total + len(chunks)) + end, kind="stable")
         begin, end, weight, depth = begin[order], end[order], weight[order], depth[order]
         heads = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
         mass = np.ones(total + len(chunks))
@@ -368,8 +368,10 @@ def _branch_values(q, edges, owner, heads, key, stream, limit, floor, taken):
     n = len(edges)
     p = q[edges]
     log_p = np.log(p)
-    run = np.cumsum(log_p) - log_p
-    before = run - run[heads][owner]
+    before = np.empty(n)
+    for s, e in zip(heads, [*heads[1:], n]):  # a text's sums don't depend on its neighbours in the batch
+        np.cumsum(log_p[s:e], out=before[s:e])
+    before -= log_p
     beside = np.where(p >= 1.0, 0.0, 1.0 - p)
     place = np.arange(n) - heads[owner]
     here = place == floor[owner]
@@ -381,7 +383,7 @@ def _branch_values(q, edges, owner, heads, key, stream, limit, floor, taken):
         e = -np.log(uniform(key[owner], stream, place))
         value = phi - np.log(np.exp(np.minimum(phi - limit[owner], 700)) + e)
     value[beside == 0] = -np.inf
-    return value, before[-1] + log_p[-1] if n else 0.0, run, log_p
+    return value
 
 
 def sample_batch(lattices: Lattices, texts: list[str | None], keys: np.ndarray, k: int = K) -> list[list[tuple]]:
@@ -444,8 +446,7 @@ def sample_batch(lattices: Lattices, texts: list[str | None], keys: np.ndarray,
         flat = np.concatenate(all_edges) if all_edges else np.zeros(0, np.int64)
         own = np.repeat(np.arange(len(live)), lengths)
         if len(flat):
-            heads = np.minimum(heads, len(flat) - 1)
-            branch, *_ = _branch_values(
+            branch = _branch_values(
                 lattices.q, flat, own, heads, keys[live], 2 * r + 2, value[live], np.asarray(floors), np.asarray(takens)
             )
         else:
