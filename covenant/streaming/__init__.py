@@ -1 +1 @@
-"""streaming."""
+"""Streams of rows: files that arrive in a folder, judged as they come."""
