@@ -309,12 +309,27 @@ def check_alone(c: Contract, at: str = "") -> None:
                     raise ContractError("SCHEMA_FK_ACTION_INVALID", at, f"{fk.name}: a required member can't be removed")
                 if action == "remove" and any(s.iterates and _array(c, p, i).positional for i, s in enumerate(p)):
                     raise ContractError("SCHEMA_FK_ACTION_INVALID", at, f"{fk.name}: the array is typed by position")
+    for r in c.checks:
+        _rule(r, "SCHEMA_CHECK_INVALID", at)
+    for r in c.assertions:
+        if not re.match(r"\s*(SELECT|WITH)\b", r.text, re.I):
+            raise ContractError("SCHEMA_ASSERTION_INVALID", at, f"{r.name} is no query")
+        _rule(r, "SCHEMA_ASSERTION_INVALID", at)
     for a in c.acyclic:
         for e in a.edges:
             if len(c.key) != 1 or not comparable(c.leaf(paths.parse(e)).kind, c.column(c.key[0]).kind):
                 raise ContractError("SCHEMA_ACYCLIC_INVALID", at, f"{a.name}: {e} doesn't reach the table's key")
 
 
+def _rule(r: Rule, code: str, at: str) -> None:
+    from . import sqlfront
+
+    try:
+        sqlfront.check_rule(r.text, code)
+    except sqlfront.QueryError as e:
+        raise ContractError(code, at, f"{r.name}: {e}") from e
+
+
 def _array(c: Contract, path: paths.Path, upto: int) -> Column:
     members, at = c.columns, None
     for s in path[: upto + 1]:
