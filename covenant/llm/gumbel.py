@@ -81,6 +81,13 @@ def uniform(key: np.ndarray, stream: int, counter: np.ndarray) -> np.ndarray:
         return ((mixed(at) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+class _Starts(dict):
+    """Start states by chunk; -1 for a chunk that isn't there."""
+
+    def __missing__(self, chunk: str) -> int:
+        return -1
+
+
 class Lattices:
     """The small lattices of a model, in arrays that walks index.
 
@@ -164,7 +171,7 @@ class Lattices:
         return out
 
     def clear(self) -> None:
-        self.start: dict[str, int] = {}
+        self.start = _Starts()
         self.q = np.zeros(1 << 16)
         self.before = np.zeros(1 << 16, dtype=np.int32)
         self.ids = np.zeros(1 << 16, dtype=np.int32)
@@ -214,8 +221,9 @@ class Lattices:
             at, node = at[on], node[on]
             if not len(at):
                 break
-        begin, weight, id_ = np.concatenate(begins), np.concatenate(weights), np.concatenate(ids)
-        end = begin + np.concatenate(lengths)
+        # longest first: a state's likeliest edges come early
+        begin, length, weight, id_ = (np.concatenate(x[::-1]) for x in (begins, lengths, weights, ids))
+        end = begin + length
         # a state for each place of a chunk, from its start (no edge) to its end
         chunk = np.repeat(np.arange(len(chunks)), sizes)
         shift = chunk[begin]
@@ -288,17 +296,19 @@ class Lattices:
 
     def starts(self, chunks: list[str]) -> np.ndarray:
         """Start states; new chunks are added."""
-        found = list(map(self.start.get, chunks))
-        if None in found:
-            new = dict.fromkeys(c for c, f in zip(chunks, found) if f is None)
+        found = np.fromiter(map(self.start.__getitem__, chunks), dtype=np.int32, count=len(chunks))
+        missing = np.flatnonzero(found < 0).tolist()
+        if missing:
+            wanted = [chunks[i] for i in missing]
+            new = list(dict.fromkeys(wanted))
             short = [c for c in new if len(c) <= SHORT]
             if short:
                 self._add(short)
             for c in new:
                 if len(c) > SHORT:
                     self._add_long(c)
-            found = list(map(self.start.get, chunks))
-        return np.asarray(found, dtype=np.int32)
+            found[missing] = [self.start[c] for c in wanted]
+        return found
 
     def walk(self, state: np.ndarray, key: np.ndarray, stream: int, counter: np.ndarray):
         """Steps from the states to their chunks' starts, by random choice.
@@ -312,15 +322,17 @@ class Lattices:
             if step % FRESH == 0:
                 rest = uniform(key[at], stream, counter[at] * np.uint64(1 << 16) + np.uint64(step // FRESH))
             e, last = self.first[state], self.first[state + 1] - 1
-            go = np.flatnonzero((rest >= self.q[e]) & (e < last))
+            p = self.q[e]
+            go = np.flatnonzero((rest >= p) & (e < last))
             while len(go):
-                rest[go] -= self.q[e[go]]
+                rest[go] -= p[go]
                 e[go] += 1
-                go = go[(rest[go] >= self.q[e[go]]) & (e[go] < last[go])]
+                p[go] = self.q[e[go]]
+                go = go[(rest[go] >= p[go]) & (e[go] < last[go])]
             who.append(at)
             states.append(state)
             edges.append(e)
-            rest = np.minimum(rest / self.q[e], 1 - 2.0**-53)
+            rest = np.minimum(rest / p, 1 - 2.0**-53)
             state = self.before[e]
             on = np.flatnonzero(self.first[state] < self.first[state + 1])
             at, state, rest = at[on], state[on], rest[on]
@@ -328,22 +340,41 @@ class Lattices:
         if not who:
             none = np.zeros(0, dtype=np.int64)
             return none, none, none
-        who = np.concatenate(who)
-        order = np.argsort(who, kind="stable")
-        return who[order], np.concatenate(states)[order], np.concatenate(edges)[order]
-
-    def tokens(self, edges: np.ndarray, chunk: np.ndarray) -> np.ndarray:
-        """Ids in the order of the text; ``chunk`` tells the edges' chunks, ascending."""
-        ids = self.ids[edges]
-        if not len(ids):
-            return ids.astype("<u4")
-        heads = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+        # every walk's steps are put side by side: those still going at a step are fewer each time
+        sizes = np.zeros(len(who[0]), dtype=np.int64)
+        for at in who:
+            sizes[at] += 1
+        head = np.cumsum(sizes) - sizes
+        out_states, out_edges = np.empty(int(sizes.sum()), dtype=np.int32), np.empty(int(sizes.sum()), dtype=np.int32)
+        for step, (at, state, e) in enumerate(zip(who, states, edges)):
+            out_states[head[at] + step] = state
+            out_edges[head[at] + step] = e
+        return np.repeat(np.arange(len(sizes)), sizes), out_states, out_edges
+
+    def tokens(self, edges: list[np.ndarray], chunks: list[np.ndarray]) -> list[np.ndarray]:
+        """Ids of many walks in the order of their texts; ``chunks`` tell the edges' chunks, ascending."""
+        sizes = np.asarray([len(e) for e in edges])
+        if not sizes.sum():
+            return [np.zeros(0, dtype="<u4") for _ in edges]
+        ids, chunk = self.ids[np.concatenate(edges)], np.concatenate(chunks)
+        new = np.concatenate([[True], chunk[1:] != chunk[:-1]])
+        new[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        heads = np.flatnonzero(new)
         tails = np.append(heads[1:], len(ids)) - 1
-        group = np.repeat(np.arange(len(heads)), tails - heads + 1)
-        ids = ids[heads[group] + tails[group] - np.arange(len(ids))]  # a walk goes from a chunk's end
-        if (ids < 0).any():
-            ids = np.concatenate([self.groups[-i - 1] if i < 0 else (i,) for i in ids.tolist()])
-        return ids.astype("<u4")
+        ids = ids[np.repeat(heads + tails, tails - heads + 1) - np.arange(len(ids))]  # a walk goes from a chunk's end
+        ends = np.cumsum(sizes)
+        negative = np.flatnonzero(ids < 0)
+        if len(negative):
+            wide = np.ones(len(ids), dtype=np.int64)
+            groups = [self.groups[-i - 1] for i in ids[negative].tolist()]
+            wide[negative] = [len(g) for g in groups]
+            at = np.cumsum(wide)
+            spread = np.repeat(ids, wide)
+            for last, g in zip(at[negative], groups):
+                spread[last - len(g) : last] = g
+            ends = np.concatenate([[0], at])[ends]
+            ids = spread
+        return np.split(ids.astype("<u4"), ends[:-1])
 
 
 class Sample:
@@ -464,7 +495,9 @@ def sample_batch(lattices: Lattices, texts: list[str | None], keys: np.ndarray,
             if prefix[i] is not None:
                 value[i] = prefix[i][4]
                 prefix[i] = prefix[i][:4]
-    return [_reported(lattices, samples) for samples in found]
+    flat = [x for samples in found for x in samples]
+    ids = iter(lattices.tokens([x.edges for x in flat], [x.chunk for x in flat]))
+    return [_reported(lattices, samples, ids) for samples in found]
 
 
 def _best(samples: list[Sample]) -> tuple[float, int, int]:
@@ -495,7 +528,7 @@ def _pop(lattices: Lattices, samples: list[Sample], key: np.uint64, r: int) -> t
     return sample, at, np.asarray([*sorted(used), pick]), share, value
 
 
-def _reported(lattices: Lattices, samples: list[Sample]) -> list[tuple]:
+def _reported(lattices: Lattices, samples: list[Sample], ids: Iterator[np.ndarray]) -> list[tuple]:
     limit = _best(samples)[0]  # the value that the next sample would have
     out = []
     for s in samples:
@@ -509,7 +542,7 @@ def _reported(lattices: Lattices, samples: list[Sample]) -> list[tuple]:
             inclusion = gap
         else:
             inclusion = math.log(-math.expm1(-math.exp(gap)))
-        out.append((lattices.tokens(s.edges, s.chunk), log_p, s.value, min(inclusion, 0.0)))
+        out.append((next(ids), log_p, s.value, min(inclusion, 0.0)))
     return out
 
 
