@@ -8,6 +8,7 @@ and 1.5, or one instant in two offsets, are the same key.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
@@ -207,27 +208,43 @@ def folded_names(table: Table, strict: bool = False) -> DataFrame:
     return finding(again, "PORTABILITY_COLLISION", table.name, F.concat(F.lit("the name equals that of "), F.col("first"), F.lit(" but for case or form")), F.col("first"), severity="error" if strict else "warning")
 
 
-def judge(spark: SparkSession, state: State, row_findings: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The verdict on a whole state: all findings of all rules."""
+def judge(spark: SparkSession, state: State, row_findings: dict[str, DataFrame] | None = None, only: set[str] | None = None) -> DataFrame:
+    """The verdict on a state: all findings of all rules.
+
+    ``only`` names the tables that a change touched: rules that look at none of them
+    are left out, as their findings can't have changed.
+    """
     parts = list((row_findings or {}).values())
+    hit = lambda *names: only is None or not only.isdisjoint(names)
     domains: dict[str, list[Table]] = {}
     for t in state.values():
         c = t.contract
-        parts.append(duplicates(t, c.key, "PRIMARY_KEY_VIOLATION"))
-        parts += [duplicates(t, u, "UNIQUE_VIOLATION") for u in c.unique]
-        parts += [dangling(state, t, fk) for fk in c.foreign_keys if _targets_known(state, fk)]
-        parts += [cycles(t, a.name, a.edges) for a in c.acyclic]
-        parts += [broken_checks(t, r) for r in c.checks]
-        parts += [broken_assertions(spark, state, t, r) for r in c.assertions]
         if c.domain:
             domains.setdefault(c.domain, []).append(t)
+        if hit(t.name):
+            parts.append(duplicates(t, c.key, "PRIMARY_KEY_VIOLATION"))
+            parts += [duplicates(t, u, "UNIQUE_VIOLATION") for u in c.unique]
+            parts += [cycles(t, a.name, a.edges) for a in c.acyclic]
+            parts += [broken_checks(t, r) for r in c.checks]
         for fk in c.foreign_keys:
-            if len(fk.tables) > 1 and _targets_known(state, fk):
+            if _targets_known(state, fk) and hit(t.name, *targets_of(state, fk)):
+                parts.append(dangling(state, t, fk))
+            if len(fk.tables) > 1 and _targets_known(state, fk) and hit(*fk.tables):
                 parts.append(domain_clashes(spark, ", ".join(sorted(fk.tables)), [state[n] for n in sorted(fk.tables)], "SCHEMA_TARGET_KEYS_OVERLAP"))
-    parts += [domain_clashes(spark, d, members) for d, members in domains.items()]
+        for r in c.assertions:
+            words = set(re.findall(r"\w+", r.text))
+            if hit(t.name, *(n for n in state if n in words)):
+                parts.append(broken_assertions(spark, state, t, r))
+    parts += [domain_clashes(spark, d, members) for d, members in domains.items() if hit(*(m.name for m in members))]
     return union(spark, parts)
 
 
+def targets_of(state: State, fk: ForeignKey) -> list[str]:
+    if fk.domain is not None:
+        return [n for n, t in state.items() if t.contract.domain == fk.domain]
+    return list(fk.tables)
+
+
 def _targets_known(state: State, fk: ForeignKey) -> bool:
     if fk.domain is not None:
         return any(t.contract.domain == fk.domain for t in state.values())

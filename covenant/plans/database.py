@@ -129,8 +129,9 @@ class Database:
 
     def _admit(self, new: State, dry_run: bool = False) -> State:
         """Findings that a change introduces refuse it; those that were there before don't."""
-        before = validate.judge(self.spark, self.state)
-        after = validate.judge(self.spark, new)
+        touched = {n for n in {*new, *self.state} if new.get(n) is not self.state.get(n)}
+        before = validate.judge(self.spark, self.state, only=touched)
+        after = validate.judge(self.spark, new, only=touched)
         same = ["code", "path", "pointer", "constraint", "observed"]
         keyed = lambda d: d.where("severity = 'error'").select(*(F.coalesce(c, F.lit("")).alias(c) for c in same), "message")
         worse = keyed(after).join(keyed(before).drop("message"), same, "left_anti").orderBy("path", "code").first()
