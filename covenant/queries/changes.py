@@ -46,17 +46,17 @@ def dml_delete(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _incoming(spark: SparkSession, d: str) -> DataFrame:
-    """A second version of some orders: every third as it is or dearer, and some new ones."""
-    o = table(spark, d, "orders").where("o_orderkey % 3 = 0")
-    price = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice") + 10).otherwise(F.col("o_totalprice"))
+    """A second version of the open and done orders, urgent ones dearer, and done ones again under new keys."""
+    o = table(spark, d, "orders").where("o_orderstatus <> 'P'")
+    price = F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") + 10).otherwise(F.col("o_totalprice"))
     old = o.select("o_orderkey", "o_custkey", "o_orderstatus", price.alias("o_totalprice"))
-    return old.union(old.where("o_orderkey % 9 = 0").withColumn("o_orderkey", F.col("o_orderkey") + 10_000_000))
+    return old.union(old.where("o_orderstatus = 'F'").withColumn("o_orderkey", F.col("o_orderkey") + 10_000_000))
 
 
 INCOMING = """WITH old AS (SELECT o_orderkey, o_custkey, o_orderstatus,
-            CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice + 10 ELSE o_totalprice END AS o_totalprice
-        FROM orders WHERE o_orderkey % 3 = 0),
-    inc AS (SELECT * FROM old UNION ALL SELECT o_orderkey + 10000000, o_custkey, o_orderstatus, o_totalprice FROM old WHERE o_orderkey % 9 = 0)"""
+            CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice + 10 ELSE o_totalprice END AS o_totalprice
+        FROM orders WHERE o_orderstatus <> 'P'),
+    inc AS (SELECT * FROM old UNION ALL SELECT o_orderkey + 10000000, o_custkey, o_orderstatus, o_totalprice FROM old WHERE o_orderstatus = 'F')"""
 
 
 @query(
@@ -93,12 +93,12 @@ def dml_insert_on_conflict_nothing(spark: SparkSession, d: str) -> DataFrame:
     return changes.insert(_orders(spark, d), _incoming(spark, d), "nothing").rows.select("key", "op")
 
 
-@query("SELECT 15000000 + row_number() OVER (ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey % 100 = 0")
+@query("SELECT 15000000 + row_number() OVER (ORDER BY o_orderkey) AS n FROM orders")
 def dml_insert_sequence(spark: SparkSession, d: str) -> DataFrame:
     """New rows continue a sequence from its greatest value."""
     held = spark.range(14_999_000, 15_000_001).withColumnRenamed("id", "n").withColumn("what", F.lit("old"))
     t = Table(held, Contract("tickets", (Column("n", "int", False, True, generated="sequence"), Column("what", "string")), ("n",)))
-    new = table(spark, d, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderstatus").alias("what"))
+    new = table(spark, d, "orders").select(F.col("o_orderstatus").alias("what"))
     return changes.insert(t, new).returning("n")
 
 
@@ -128,33 +128,33 @@ def dml_delete_cascade(spark: SparkSession, d: str) -> DataFrame:
     return count(e.state["customer"].rows, "customer").union(count(e.state["orders"].rows, "orders")).union(count(e.induced, "induced"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE o_custkey END AS o_custkey FROM orders")
+@query("SELECT o_orderkey, CASE WHEN c_nationkey = 7 THEN NULL ELSE o_custkey END AS o_custkey FROM orders JOIN customer ON c_custkey = o_custkey")
 def dml_set_null(spark: SparkSession, d: str) -> DataFrame:
-    e = referential.delete_rows(spark, _state(spark, d, "set_null"), "customer", F.col("c_custkey") % 10 == 0)
+    e = referential.delete_rows(spark, _state(spark, d, "set_null"), "customer", F.col("c_nationkey") == 7)
     return e.state["orders"].rows.select("o_orderkey", "o_custkey")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_custkey % 10 = 0 THEN 1 ELSE o_custkey END AS o_custkey FROM orders")
+@query("SELECT o_orderkey, CASE WHEN c_nationkey = 7 THEN 1 ELSE o_custkey END AS o_custkey FROM orders JOIN customer ON c_custkey = o_custkey")
 def dml_set_default(spark: SparkSession, d: str) -> DataFrame:
-    e = referential.delete_rows(spark, _state(spark, d, "set_default"), "customer", F.col("c_custkey") % 10 == 0)
+    e = referential.delete_rows(spark, _state(spark, d, "set_default"), "customer", F.col("c_nationkey") == 7)
     return e.state["orders"].rows.select("o_orderkey", "o_custkey")
 
 
-@query("SELECT 'orders/' || o_orderkey || '.json' AS path, 'restrict' AS action, '[' || o_custkey || ']' AS key FROM orders WHERE o_custkey IN (7, 8)")
+@query("SELECT 'orders/' || o_orderkey || '.json' AS path, 'restrict' AS action, '[' || o_custkey || ']' AS key FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 5")
 def dml_restrict(spark: SparkSession, d: str) -> DataFrame:
-    e = referential.delete_rows(spark, _state(spark, d, "restrict"), "customer", F.col("c_custkey").isin(7, 8))
+    e = referential.delete_rows(spark, _state(spark, d, "restrict"), "customer", F.col("c_nationkey") == 5)
     return e.refused.select("path", "action", "key")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_custkey < 20 THEN o_custkey + 5000000 ELSE o_custkey END AS o_custkey FROM orders")
+@query("SELECT o_orderkey, CASE WHEN c_nationkey = 3 THEN o_custkey + 5000000 ELSE o_custkey END AS o_custkey FROM orders JOIN customer ON c_custkey = o_custkey")
 def dml_update_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Customers get new keys; their orders follow."""
-    e = referential.rekey_rows(spark, _state(spark, d, "restrict"), "customer", F.col("c_custkey") < 20, {"c_custkey": F.col("c_custkey") + 5_000_000})
+    e = referential.rekey_rows(spark, _state(spark, d, "restrict"), "customer", F.col("c_nationkey") == 3, {"c_custkey": F.col("c_custkey") + 5_000_000})
     return e.state["orders"].rows.select("o_orderkey", "o_custkey")
 
 
 @query(
-    """SELECT o_custkey, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) FILTER (WHERE o_orderkey % 7 <> 0), '') AS refs
+    """SELECT o_custkey, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) FILTER (WHERE o_orderstatus <> 'P'), '') AS refs
         FROM orders GROUP BY o_custkey"""
 )
 def dml_remove_element(spark: SparkSession, d: str) -> DataFrame:
@@ -163,5 +163,5 @@ def dml_remove_element(spark: SparkSession, d: str) -> DataFrame:
     baskets = o.rows.groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("refs"))
     fk = ForeignKey("fk_refs", ("refs[]",), ("orders",), on_delete="remove")
     holder = Table(baskets, Contract("baskets", (_int("o_custkey"), Column("refs", "array", items=_int(""))), ("o_custkey",), foreign_keys=(fk,)))
-    e = referential.delete_rows(spark, {"orders": o, "baskets": holder}, "orders", F.col("o_orderkey") % 7 == 0)
+    e = referential.delete_rows(spark, {"orders": o, "baskets": holder}, "orders", F.col("o_orderstatus") == "P")
     return e.state["baskets"].rows.select("o_custkey", F.array_join(F.transform("refs", lambda x: x.cast("string")), ",").alias("refs"))

@@ -72,15 +72,15 @@ def sql_delete_subquery(spark: SparkSession, d: str) -> DataFrame:
     return statements.run(spark, state, sql).state["customer"].rows
 
 
-@query("SELECT o_orderkey + 50000000 AS o_orderkey, o_custkey, 'N' AS o_orderstatus, '1.5' AS total FROM orders WHERE o_orderkey < 100")
+@query("SELECT o_orderkey + 50000000 AS o_orderkey, o_custkey, 'N' AS o_orderstatus, '1.5' AS total FROM orders")
 def sql_insert_select(spark: SparkSession, d: str) -> DataFrame:
-    sql = "INSERT INTO orders (o_orderkey, o_custkey, o_orderstatus, total) SELECT o_orderkey + 50000000, o_custkey, 'N', '1.5' FROM orders WHERE o_orderkey < 100 RETURNING *"
+    sql = "INSERT INTO orders (o_orderkey, o_custkey, o_orderstatus, total) SELECT o_orderkey + 50000000, o_custkey, 'N', '1.5' FROM orders RETURNING *"
     return statements.run(spark, {"orders": _orders(spark, d)}, sql).returning
 
 
-@query("SELECT c_custkey, c_name || '' AS c_name, upper(c_name) AS full_name FROM customer WHERE c_custkey < 500")
+@query("SELECT c_custkey, c_name || '' AS c_name, upper(c_name) AS full_name FROM customer")
 def migrate_columns(spark: SparkSession, d: str) -> DataFrame:
-    state = {"customer": Table(_customer(spark, d).rows.where("c_custkey < 500"), _customer(spark, d).contract)}
+    state = {"customer": _customer(spark, d)}
     state = migrate.add_column(state, "customer", Column("loud", "string", True, False), F.upper("c_name"))
     state = migrate.rename_column(state, "customer", "loud", "full_name")
     return state["customer"].rows
@@ -114,11 +114,11 @@ def val_overlap(spark: SparkSession, d: str) -> DataFrame:
     return validate.domain_clashes(spark, ", ".join(fk.tables), [both[n] for n in fk.tables], "SCHEMA_TARGET_KEYS_OVERLAP").select("severity", "code", "path")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_custkey % 13 = 0 THEN NULL ELSE o_custkey END AS o_custkey FROM orders")
+@query("SELECT o_orderkey, CASE WHEN c_nationkey = 13 THEN NULL ELSE o_custkey END AS o_custkey FROM orders JOIN customer ON c_custkey = o_custkey")
 def doctor_set_null(spark: SparkSession, d: str) -> DataFrame:
     """Dangling references set to null."""
     state = {
-        "customer": Table(_customer(spark, d).rows.where("c_custkey % 13 <> 0"), _customer(spark, d).contract),
+        "customer": Table(table(spark, d, "customer").where("c_nationkey <> 13").select("c_custkey", "c_name"), _customer(spark, d).contract),
         "orders": _orders(spark, d, foreign_keys=(ForeignKey("fk_customer", ("o_custkey",), ("customer",)),)),
     }
     return doctor.without_dangling(state, "orders", "set_null")["orders"].rows.select("o_orderkey", "o_custkey")

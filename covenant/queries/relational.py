@@ -142,22 +142,20 @@ def join_left(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT s.s_suppkey, p.p_partkey FROM (SELECT s_suppkey FROM supplier WHERE s_suppkey < 60) s
-        RIGHT JOIN (SELECT p_partkey FROM part WHERE p_partkey BETWEEN 40 AND 90) p ON s.s_suppkey = p.p_partkey"""
+    """SELECT s.s_suppkey, p.p_partkey FROM supplier s RIGHT JOIN part p ON s.s_suppkey = p.p_partkey"""
 )
 def join_right(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").where("s_suppkey < 60").select("s_suppkey")
-    p = table(spark, d, "part").where("p_partkey between 40 and 90").select("p_partkey")
+    s = table(spark, d, "supplier").select("s_suppkey")
+    p = table(spark, d, "part").select("p_partkey")
     return s.join(p, F.col("s_suppkey") == F.col("p_partkey"), "right")
 
 
 @query(
-    """SELECT s.s_suppkey, p.p_partkey FROM (SELECT s_suppkey FROM supplier WHERE s_suppkey < 60) s
-        FULL JOIN (SELECT p_partkey FROM part WHERE p_partkey BETWEEN 40 AND 90) p ON s.s_suppkey = p.p_partkey"""
+    """SELECT s.s_suppkey, p.p_partkey FROM supplier s FULL JOIN part p ON s.s_suppkey = p.p_partkey"""
 )
 def join_full(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").where("s_suppkey < 60").select("s_suppkey")
-    p = table(spark, d, "part").where("p_partkey between 40 and 90").select("p_partkey")
+    s = table(spark, d, "supplier").select("s_suppkey")
+    p = table(spark, d, "part").select("p_partkey")
     return s.join(p, F.col("s_suppkey") == F.col("p_partkey"), "full")
 
 
@@ -467,7 +465,7 @@ def cte_plain(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH RECURSIVE up(part, node, depth) AS (
-            SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 7 = 0
+            SELECT p_partkey, p_partkey, 0 FROM part
             UNION ALL SELECT up.part, p.p_partkey, up.depth + 1 FROM up JOIN part p ON p.p_partkey = up.node // 2
                 WHERE up.node > 1 AND up.depth < 20)
         SELECT part, count(*) AS n, max(depth) AS depth FROM up GROUP BY part"""
@@ -477,7 +475,7 @@ def cte_recursive(spark: SparkSession, d: str) -> DataFrame:
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     return spark.sql(
         """WITH RECURSIVE up(part, node, depth) AS (
-               SELECT p_partkey, p_partkey, 0 FROM {part} WHERE p_partkey % 7 = 0
+               SELECT p_partkey, p_partkey, 0 FROM {part}
                UNION ALL SELECT up.part, p.p_partkey, up.depth + 1 FROM up JOIN {part} p ON p.p_partkey = up.node div 2
                    WHERE up.node > 1 AND up.depth < 20)
            SELECT part, count(*) AS n, max(depth) AS depth FROM up GROUP BY part""",

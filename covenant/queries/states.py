@@ -103,7 +103,7 @@ def merge3_conflicts(spark: SparkSession, d: str) -> DataFrame:
 )
 def dag_merge_base(spark: SparkSession, d: str) -> DataFrame:
     """A heap-shaped history: the base of nodes 25 and 27 is 6."""
-    p = table(spark, d, "part").where("p_partkey between 2 and 200").select(
+    p = table(spark, d, "part").where("p_partkey > 1").select(
         F.col("p_partkey").cast("string").alias("id"), F.floor(F.col("p_partkey") / 2).cast("string").alias("parent")
     )
     return states.merge_bases(p, "25", "27")
