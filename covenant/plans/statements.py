@@ -251,14 +251,17 @@ def run(spark: SparkSession, state: State, sql: str) -> Outcome:
         else:
             change = changes.update(marked, where, {n: F.expr(sqlfront.rewrite(e)) for n, e in p.assign})
         change = Change(Table(change.after.rows.select(*(f"`{c}`" for c in names)), t.contract), change.rows)
-    image = lambda side: F.struct(*(F.col(f"{side}.`{c}`") for c in names))
     after = state | {p.table: change.after}
-    vacating = change.rows.where("op <> 'insert'")
-    moved = vacating.select(F.when(F.col("before").isNotNull(), image("before")).alias("b"), F.when(F.col("after").isNotNull(), image("after")).alias("a"))
-    e = referential.expand(spark, after, {p.table: moved}) if p.op != "insert" else referential.Expansion(after, spark.createDataFrame([], referential.INDUCED), spark.createDataFrame([], referential.INDUCED))
-    first = e.refused.orderBy("path", "constraint").first() if p.op != "insert" else None
-    if first is not None:
-        raise ChangeRefused("FOREIGN_KEY_VIOLATION", f"{first['path']} still refers to {first['key']} ({first['constraint']}, {first['action']})")
+    none = spark.createDataFrame([], referential.INDUCED)
+    e = referential.Expansion(after, none, none)
+    if _vacates(state, t, p):
+        image = lambda side: F.struct(*(F.col(f"{side}.`{c}`") for c in names))
+        vacating = change.rows.where("op <> 'insert'")
+        moved = vacating.select(F.when(F.col("before").isNotNull(), image("before")).alias("b"), F.when(F.col("after").isNotNull(), image("after")).alias("a"))
+        e = referential.expand(spark, after, {p.table: moved})
+        first = e.refused.orderBy("path", "constraint").first()
+        if first is not None:
+            raise ChangeRefused("FOREIGN_KEY_VIOLATION", f"{first['path']} still refers to {first['key']} ({first['constraint']}, {first['action']})")
     out = None
     if p.returning:
         shown = names if p.returning.strip() == "*" else [x.strip() for x in p.returning.split(",")]
@@ -266,6 +269,15 @@ def run(spark: SparkSession, state: State, sql: str) -> Outcome:
     return Outcome(e.state, change, e.induced, out)
 
 
+def _vacates(state: State, t: Table, p: Parsed) -> bool:
+    """Whether a change can take away a key that a reference names."""
+    if p.op == "insert":
+        return False
+    named = [fk for x in state.values() for fk in x.contract.foreign_keys if t.name in fk.tables or fk.domain and fk.domain == t.contract.domain]
+    keys = {c for fk in named for c in (fk.columns or t.contract.key)}
+    return bool(named) and (p.op == "delete" or not keys.isdisjoint(n for n, _ in p.assign))
+
+
 def _old(expr: str, t: Table) -> str:
     """An upsert's expression: a bare column is the held row's."""
     ts = [x for x in tokens(expr)]
