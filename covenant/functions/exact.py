@@ -48,13 +48,16 @@ def _parts(x: Column) -> tuple[Column, Column, Column]:
 
     The value is 0.d1d2d3... times ten to the place; no digits mean zero.
     """
-    whole = F.regexp_extract(x, NUMBER, 1)
-    fraction = F.substring(F.regexp_extract(x, NUMBER, 2), F.lit(2), F.char_length(x))
-    power = F.coalesce(F.regexp_replace(F.regexp_extract(x, NUMBER, 3), "[eE+]", "").try_cast("long"), F.lit(0))
-    all_digits = F.concat(whole, fraction)
-    led = F.regexp_replace(all_digits, "^0+", "")
-    place = F.char_length(whole) - (F.char_length(all_digits) - F.char_length(led)) + power
-    return x.startswith("-"), F.regexp_replace(led, "0+$", ""), place
+    zero = F.lit("0")
+    body = F.translate(F.ltrim(x, F.lit("-")), "E", "e")
+    mantissa = F.substring_index(body, "e", 1)
+    power = F.when(F.locate("e", body) > 0, F.translate(F.substring_index(body, "e", -1), "+", "").try_cast("long"))
+    whole = F.substring_index(mantissa, ".", 1)
+    fraction = F.when(F.locate(".", mantissa) > 0, F.substring_index(mantissa, ".", -1)).otherwise("")
+    led = F.ltrim(F.concat(whole, fraction), zero)
+    # leading zeros are as many as the digits lost by taking them off
+    place = F.char_length(led) - F.char_length(fraction) + F.coalesce(power, F.lit(0))
+    return x.startswith("-"), F.rtrim(led, zero), place
 
 
 def number_key(x: Column | str) -> Column:
@@ -194,19 +197,19 @@ def dec_sum(df: DataFrame, keys: list[str], column: str, alias: str, before: int
     few limb sums are put together at the end. Values beyond ``before`` or
     ``after`` limbs make the query fail rather than round.
     """
-    x = F.col(column).cast("string")
-    negative, digits, place = _parts(x)
-    fits = (place <= LIMB * before) & (F.char_length(digits) - place <= LIMB * after)
-    # a long place has no effect on what fits, which padding needs as int
+    # step by step, so that each part of a number is worked out once
+    x = F.col("_x")
+    parts = df.select(*keys, F.col(column).cast("string").alias("_x"))
+    parts = parts.withColumns(dict(zip(("_negative", "_digits", "_place"), _parts(x))))
+    digits, place = F.col("_digits"), F.col("_place")
+    fits = is_number(x) & ((digits == "") | (place <= LIMB * before) & (F.char_length(digits) - place <= LIMB * after))
     lead = (F.lit(LIMB * before) - F.least(F.greatest(place, F.lit(-LIMB * after)), F.lit(LIMB * before))).cast("int")
     row = F.rpad(F.concat(F.repeat(F.lit("0"), lead), digits), LIMB * (before + after), "0")
-    valid = F.when(x.isNull(), None).when(~is_number(x) | (~fits & (digits != "")), F.raise_error(F.concat(F.lit("dec_sum can't hold "), x))).otherwise(F.when(digits == "", F.lit("0" * LIMB * (before + after))).otherwise(row))
-    sign = F.when(negative, -1).otherwise(1)
-    limbs = [
-        F.sum(F.substring("_row", 1 + LIMB * i, LIMB).cast("long") * F.col("_sign")).alias(f"_limb{i}")
-        for i in range(before + after)
-    ]
-    sums = df.select(*keys, valid.alias("_row"), sign.alias("_sign")).groupBy(*keys).agg(*limbs)
+    refused = F.raise_error(F.concat(F.lit("dec_sum can't hold "), x)).cast("string")
+    parts = parts.withColumn("_row", F.when(x.isNotNull(), F.when(fits, row).otherwise(refused)))
+    sign = F.when(F.col("_negative"), -1).otherwise(1)
+    limbs = [F.sum(F.substring("_row", 1 + LIMB * i, LIMB).cast("long") * sign).alias(f"_limb{i}") for i in range(before + after)]
+    sums = parts.groupBy(*keys).agg(*limbs)
 
     @F.pandas_udf(StringType())
     def joined(*columns: pd.Series) -> pd.Series:
