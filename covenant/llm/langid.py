@@ -4,7 +4,9 @@ Features are hashed character n-grams (one to three characters, lower case, whit
 space as one blank) weighted by TF-IDF and scaled to length one. Weights are
 learnt by follow-the-regularised-leader with an elastic net: the L1 part keeps
 most of them at exactly zero. A temperature fitted on rows kept from the training
-makes the probabilities honest.
+makes the probabilities honest. The same rows say how sure the classifier is of
+texts in languages it knows; the pipeline rejects what is told much less surely,
+as gibberish and texts in other languages are.
 
 Learnt from a bounded sample (``PER_LANGUAGE``, ``SAMPLE``, ``SAMPLE_BYTES``) of
 the learning fold; inverse document frequencies come from that sample too, being
@@ -14,7 +16,8 @@ Defined results: ``und`` with score 0 for a null text or one without a letter, a
 for every text if nothing could be learnt; otherwise the most probable language
 (ties: the first by name) and its probability; null languages are not learnt from;
 repeated rows give repeated rows; further columns are ignored; an empty table
-gives an empty one.
+gives an empty one. With a single learned language nothing can be told apart, and
+every text with a letter passes.
 """
 
 from __future__ import annotations
@@ -42,8 +45,9 @@ ALPHA, BETA, L1, L2, PASSES = 2.0, 1.0, 0.02, 0.05, 4
 #: Characters counted in one step.
 STEP = 1 << 20
 UNKNOWN = "und"
-#: Probability below which the pipeline rejects a document.
-LEAST_SCORE = 0.25
+#: The pipeline rejects below the middle, in log odds, of chance and of what all but
+#: this share of the calibration rows reach.
+UNSURE = 0.01
 # Multipliers of the n-gram hash: odd parts of the golden ratio and of roots.
 _MIX = np.asarray([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
@@ -75,20 +79,28 @@ class Model:
     bias: np.ndarray
     idf: np.ndarray
     temperature: float = 1.0
+    least: float = -np.inf  # log odds below which the pipeline rejects
 
     def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         at, n = gram_counts(text)
         x = (1 + np.log(n)) * self.idf[at]
         return at, x / max(np.sqrt(x @ x), 1e-12)
 
-    def probabilities(self, text: str) -> np.ndarray:
+    def logits(self, text: str) -> np.ndarray:
         at, x = self.features(text)
-        return softmax((x @ self.weights[at] + self.bias) / self.temperature)
+        return (x @ self.weights[at] + self.bias) / self.temperature
+
+    def readable(self, text: str | None) -> bool:
+        return bool(self.languages and text and LETTER.search(text))
+
+    def told(self, text: str | None) -> bool:
+        """Whether the language is told with enough confidence."""
+        return self.readable(text) and bool(log_odds(self.logits(text)) >= self.least)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or not text or not LETTER.search(text):
+        if not self.readable(text):
             return UNKNOWN, 0.0
-        p = self.probabilities(text)
+        p = softmax(self.logits(text))
         best = int(np.argmax(p))
         return self.languages[best], float(p[best])
 
@@ -98,6 +110,16 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def log_odds(z: np.ndarray) -> np.ndarray:
+    """Log odds of the greatest class against the others; unlike its probability it doesn't round to one."""
+    z = np.sort(z, axis=-1)
+    if z.shape[-1] == 1:
+        return np.full(z.shape[:-1], np.inf)
+    ahead = z[..., :-1] - z[..., -1:]
+    most = ahead[..., -1]
+    return -most - np.log(np.exp(ahead - most[..., None]).sum(axis=-1))
+
+
 class Leader:
     """Follow-the-regularised-leader, one coordinate table for all classes."""
 
@@ -150,6 +172,7 @@ def train(rows: list[tuple[str | None, str]], seed: int = 11) -> Model:
     if kept:
         logits = np.asarray([data[i][1] @ w[data[i][0]] for i in order[:kept]])
         model.temperature = temperature(logits, np.asarray([data[i][2] for i in order[:kept]]))
+        model.least = least_odds(logits / model.temperature)
     return model
 
 
@@ -161,6 +184,15 @@ def temperature(logits: np.ndarray, truth: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
+def least_odds(logits: np.ndarray) -> float:
+    """Half way from chance, which no text is below, to where nearly all of the kept rows lie above."""
+    classes = logits.shape[1]
+    if classes == 1:
+        return -np.inf
+    chance = -np.log(classes - 1)
+    return float((chance + np.quantile(log_odds(logits), UNSURE)) / 2)
+
+
 def fit(docs: DataFrame) -> Model:
     learn = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(fold("doc_id", FOLDS) != HELD_OUT, F.lit(False))
@@ -197,8 +229,8 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = shared.value.predict
+        told = shared.value.told
         for b in text_chunks(batches, at):
-            yield b.filter(pa.array([predict(t)[1] >= LEAST_SCORE for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([told(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -109,6 +109,18 @@ def test_stages(spark, corpus):
     assert {r.doc_id for r in packed.collect()} == third
 
 
+def test_texts_of_no_learned_language_go(spark, corpus):
+    random.seed(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    gibberish = [" ".join("".join(random.choices(letters, k=random.randint(2, 9))) for _ in range(40)) for _ in range(20)]
+    foreign = ["это текст на русском языке о доме у моря", "kyseessä on suomenkielinen teksti talosta", "日本語のテキストです"]
+    planted = [(3000 + i, t, None, "u", 1) for i, t in enumerate(gibberish + foreign)]
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    docs = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, corpus).collect()}
+    assert kept == set(range(500)) | {1000 + i for i in range(1, 60, 2)}
+
+
 def test_run(spark, corpus):
     out = corpus_pipeline.run(spark, corpus)
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and out.count() > 300
