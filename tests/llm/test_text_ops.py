@@ -255,6 +255,19 @@ def test_toxicity(spark, odd, none):
     assert toxicity.scored(none, empty).collect() == [] and {r.score for r in toxicity.scored(odd, empty).collect()} == {0.0}
 
 
+def test_toxic_documents_go_by_the_threshold_of_their_language(spark):
+    rows = [("the mild dog", "en", 0), ("the vile dog", "en", 1)] * 20
+    model = toxicity.train(rows)
+    mild, vile = (model.scorer()(t) for t in ("the mild dog", "the vile dog"))
+    model.thresholds = {"en": mild / 2, "fr": (vile + 1) / 2, "None": 1.0}
+    texts = [(lang, t) for lang in ("en", "fr", "de") for t in ("the mild dog", "the vile dog")]
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    flagged = {r.doc_id for r in toxicity.scored(docs, model).collect() if r.flagged}
+    kept = {r.doc_id for r in toxicity.without_toxic(docs, model).collect()}
+    assert {0, 1} <= flagged and {2, 3}.isdisjoint(flagged) and kept == set(range(6)) - flagged
+    assert {r.doc_id for r in toxicity.without_toxic(docs.drop("lang"), model).collect()} == set(range(6))
+
+
 # ---- segmentations ----------------------------------------------------------
 
 
