@@ -196,10 +196,10 @@ def least_odds(logits: np.ndarray) -> float:
 def fit(docs: DataFrame) -> Model:
     learn = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(fold("doc_id", FOLDS) != HELD_OUT, F.lit(False))
-    ).select("doc_id", "lang")
-    ids = sampling.by_class(learn, "doc_id", "lang", PER_LANGUAGE, SAMPLE, "language")
-    ids = ids.select(F.col("doc_id"), F.col("lang").alias("_lang"))
-    rows = sampling.gather(docs.select("doc_id", "text"), ids, ["doc_id", "text", "_lang"], "text", SAMPLE_BYTES)
+    ).select("doc_id", "text", "lang")
+    ids = sampling.by_class(learn.select("doc_id", "lang"), "doc_id", "lang", PER_LANGUAGE, SAMPLE, "language")
+    columns = ["doc_id", "text", "lang"]
+    rows = sampling.gather(learn, ids, ["doc_id", "lang"], columns, "text", "lang", SAMPLE_BYTES, "language")
     return train([(text, lang) for _, text, lang in rows])
 
 

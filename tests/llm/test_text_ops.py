@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from covenant.llm import bpe, gumbel, langid, packing, simhash, token_counts, toxicity
+from covenant.llm import bpe, gumbel, langid, packing, sampling, simhash, token_counts, toxicity
 from covenant.llm.components import connected_components
 
 PATH = bpe.default_path()
@@ -268,6 +268,27 @@ def test_toxic_documents_go_by_the_threshold_of_their_language(spark):
     assert {r.doc_id for r in toxicity.without_toxic(docs.drop("lang"), model).collect()} == set(range(6))
 
 
+def test_long_and_repeated_rows_leave_the_rest_of_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 20_000)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 20_000)
+    first = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 4 != 2 and zlib.crc32(str(i).encode()) % 3 != 1)
+    small = [(i, ["the cat and dog ", "der kater und hund ", "grumblex and vilely "][i % 3] * 3, "de" if i % 3 == 1 else "en") for i in range(10, 100)]
+    table = spark.createDataFrame([(first, 1, 0)] + [(i, 1, int(i % 3 == 2)) for i, _, _ in small], "doc_id long, quality int, toxic int")
+    for odd in ([(first, "the very long text " * 2_000, "en")], [(first, "the repeated text " * 5, "en")] * 600):
+        docs = spark.createDataFrame(odd + small, "doc_id long, text string, lang string")
+        assert langid.fit(docs).languages == ["de", "en"]
+        rows = toxicity.learning_rows(docs, table)
+        assert {y for _, _, y in rows} == {0, 1} and sum(len(t) for t, _, _ in rows) <= 20_000
+        assert len(rows) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i, _, _ in small) + (len(odd) > 1)
+        assert toxicity.fit(docs, table).known
+
+
+def test_classes_share_the_bytes():
+    sizes = [(i, "a", i, 10) for i in range(50)] + [(100 + i, "b", i, 10) for i in range(3)] + [(200, "c", 0, 1000), (201, "c", 1, 5)]
+    kept = sampling.within(sizes, 105)
+    assert sorted(kept) == [0, 1, 2, 3, 4, 5, 6, 100, 101, 102, 201]
+
+
 # ---- segmentations ----------------------------------------------------------
 
 
