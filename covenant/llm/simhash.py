@@ -189,13 +189,28 @@ def near_duplicates(
     )
 
 
-def representatives(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """The documents, all columns, that name their component; one row an id.
+def row_key(text_column: str) -> Column:
+    """What tells rows of one id apart, or rows without id."""
+    return F.xxhash64(text_column)
 
-    A component without any id keeps its rows, as nothing tells them apart.
+
+def representatives(
+    docs: DataFrame, width: int = WIDTH, seed: int = SEED, max_bits: int = MAX_BITS,
+    id_column: str = "doc_id", text_column: str = "text",
+) -> DataFrame:
+    """One document, all columns, of each near-duplicate component.
+
+    It is the one of the least id, nulls last, and of those the one of the least row
+    key; of rows equal in both, one stays.
     """
-    found = near_duplicates(docs, id_column=id_column, **options)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep"))
-    kept = docs.join(keep.distinct(), F.col(id_column).eqNullSafe(F.col("_keep")), "left_semi")
-    named = kept.where(F.col(id_column).isNotNull()).dropDuplicates([id_column])
-    return named.unionByName(kept.where(F.col(id_column).isNull()))
+    names = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), row_key(text_column).alias("key"))
+    rows = docs.select(names.alias("name"), F.col(text_column).alias("text"))
+    own = fingerprints(rows, width, seed, "name", "text").withColumnRenamed("doc_id", "name")
+    prints = cut(own.groupBy("fp").agg(F.min("name").alias("name")))
+    component = connected_components(cut(links(prints.select("fp"), max_bits)))
+    placed = prints.join(component, prints.fp == component.node, "left")
+    keep = cut(placed.groupBy(F.coalesce("component", "fp").alias("root")).agg(F.min("name").alias("name")))
+    keep = keep.select(F.col("name.id").alias("_keep"), F.col("name.key").alias("_keep_key"))
+    keyed = docs.withColumn("_row_key", row_key(text_column))
+    same = F.col(id_column).eqNullSafe(F.col("_keep")) & (F.col("_row_key") == F.col("_keep_key"))
+    return keyed.join(keep, same, "left_semi").dropDuplicates([id_column, "_row_key"]).drop("_row_key")

@@ -185,6 +185,15 @@ def test_links_and_components_of_crowds(spark):
         assert len({found.get(m, m) for m in members}) == 1 and {found.get(m, m) for m in members} <= {min(members), *members}
 
 
+def test_one_row_of_each_component_stays(spark):
+    fruit, stone, river = "apple pear plum fig grape lime", "granite basalt marble slate chalk flint", "rhine danube elbe oder weser main"
+    rows = [(None, fruit, "a")] * 3 + [(None, stone, "a"), (7, stone, "b"), (7, river, "c"), (9, river, "d"), (9, river, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = simhash.representatives(docs)
+    assert found.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in found.collect()))) == sorted(map(str, [(None, fruit), (7, stone), (7, river)]))
+
+
 def test_components_of_graphs(spark):
     for pairs in ([], [(1, 1)], [(i, i + 1) for i in range(50)], [(0, i) for i in range(1, 200)], [(1, 2), (3, 4), (2, 3), (9, 8), (None, 5)]):
         got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
