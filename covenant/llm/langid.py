@@ -9,8 +9,8 @@ texts in languages it knows; the pipeline rejects what is told much less surely,
 as gibberish and texts in other languages are.
 
 Learnt from a bounded sample (``PER_LANGUAGE``, ``SAMPLE``, ``SAMPLE_BYTES``) of
-the learning fold; inverse document frequencies come from that sample too, being
-part of the classifier. Languages are counted over all rows.
+the learning fold; document frequencies of the n-grams and languages are counted
+over all its rows.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and
 for every text if nothing could be learnt; otherwise the most probable language
@@ -142,8 +142,10 @@ class Leader:
         self.n[at] += g * g
 
 
-def train(rows: list[tuple[str | None, str]], seed: int = 11) -> Model:
-    """A model from ``(text, language)`` rows."""
+def train(
+    rows: list[tuple[str | None, str]], seed: int = 11, frequencies: tuple[int, np.ndarray] | None = None
+) -> Model:
+    """A model from ``(text, language)`` rows; ``frequencies`` are those of ``document_frequencies``, else of the rows."""
     rows = [(t, lang) for t, lang in rows if lang is not None and t and LETTER.search(t)]
     languages = sorted({lang for _, lang in rows})
     size = 1 << BITS
@@ -151,10 +153,12 @@ def train(rows: list[tuple[str | None, str]], seed: int = 11) -> Model:
     if not rows:
         return model
     counted = [gram_counts(t) for t, _ in rows]
-    df = np.zeros(size)
-    for at, _ in counted:
-        df[at] += 1
-    model.idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    if frequencies is None:
+        df = np.zeros(size)
+        for at, _ in counted:
+            df[at] += 1
+        frequencies = len(rows), df
+    model.idf = np.log((1 + frequencies[0]) / (1 + frequencies[1])) + 1
     data = []
     for (at, n), (_, lang) in zip(counted, rows):
         x = (1 + np.log(n)) * model.idf[at]
@@ -193,6 +197,29 @@ def least_odds(logits: np.ndarray) -> float:
     return float((chance + np.quantile(log_odds(logits), UNSURE)) / 2)
 
 
+def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """How many texts have a letter, and in how many of those each bucket occurs.
+
+    A task adds its texts up, so at most the buckets of each task are shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros((1 << BITS) + 1, dtype=np.int64)  # the last counts texts
+        for b in text_chunks(batches, 0):
+            for text in b.column(0).to_pylist():
+                if text and LETTER.search(text):
+                    df[gram_counts(text)[0]] += 1
+                    df[-1] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["bucket", "n"])
+
+    found = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect()
+    df = np.zeros((1 << BITS) + 1)
+    for bucket, n in found:
+        df[bucket] = n
+    return int(df[-1]), df[:-1]
+
+
 def fit(docs: DataFrame) -> Model:
     learn = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(fold("doc_id", FOLDS) != HELD_OUT, F.lit(False))
@@ -200,7 +227,7 @@ def fit(docs: DataFrame) -> Model:
     ids = sampling.by_class(learn.select("doc_id", "lang"), "doc_id", "lang", PER_LANGUAGE, SAMPLE, "language")
     columns = ["doc_id", "text", "lang"]
     rows = sampling.gather(learn, ids, ["doc_id", "lang"], columns, "text", "lang", SAMPLE_BYTES, "language")
-    return train([(text, lang) for _, text, lang in rows])
+    return train([(text, lang) for _, text, lang in rows], frequencies=document_frequencies(learn))
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:

@@ -298,6 +298,17 @@ def test_classes_share_the_bytes():
     assert sorted(kept) == [0, 1, 2, 3, 4, 5, 6, 100, 101, 102, 201]
 
 
+def test_frequencies_are_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 5)
+    rows = [(i, f"{'the cat' if i % 2 else 'der kater'} {i}", "en" if i % 2 else "de") for i in range(200)] + [(300, None, "en"), (301, "12", "de")]
+    learnt = [t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2 and t and re.search("[a-z]", t)]
+    df = np.zeros(1 << langid.BITS)
+    for t in learnt:
+        df[langid.gram_counts(t)[0]] += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    assert np.allclose(langid.fit(docs).idf, np.log((1 + len(learnt)) / (1 + df)) + 1)
+
+
 # ---- segmentations ----------------------------------------------------------
 
 
