@@ -34,7 +34,7 @@ def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gumbel.sampled_segmentations(read(spark, sf_dir, "documents"), with_ids=False)
+    return gumbel.sampled_segmentations(read(spark, sf_dir, "documents"))
 
 
 def op5_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -37,6 +38,12 @@ def test_query_keeps_all_rows(spark, small, name):
     assert n > 0
 
 
+def test_segmentations_are_written(spark, small):
+    df = QUERIES["op4_gumbel_segmentations"](spark, small)
+    for r in df.limit(50).collect():
+        assert len(r.ids) == r.n_pieces and zlib.crc32(np.asarray(r.ids, dtype=np.int32).tobytes()) == r.ids_crc32
+
+
 def test_queries_are_named_by_operator():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
 
