@@ -18,7 +18,8 @@ instance ``spark.read.format("binaryFile")``.
 Defined results: a null payload is empty; payloads under ``LEAST`` bytes are all
 responses; among pages with equal payload and equal id each is a response; a page
 without id is a response and no other refers to it; further columns are ignored;
-an empty table makes no archive and gives an empty result.
+an empty table makes no archive and gives an empty result. A revisit is verified if a
+verified response among the records read has the id it names, its digest and length.
 """
 
 from __future__ import annotations
@@ -217,7 +218,21 @@ def read(files: DataFrame, payloads: bool = False) -> DataFrame:
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    return files.select("path", "content").mapInArrow(run, schema)
+    found = files.select("path", "content").mapInArrow(run, schema)
+    return held_to_responses(found if payloads else cut(found))
+
+
+def held_to_responses(found: DataFrame) -> DataFrame:
+    """The records; a revisit is verified only if a verified response of the id it names has its digest and length."""
+    responses = (
+        found.where("record_type = 'response' AND verified AND page_id IS NOT NULL")
+        .select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"))
+        .distinct()
+    )
+    same = (F.col("refers_to") == F.col("_id")) & (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes"))
+    revisits = found.where("record_type = 'revisit'").join(responses, same, "left")
+    revisits = revisits.withColumn("verified", F.col("verified") & F.col("_id").isNotNull()).select(*found.columns)
+    return found.where("record_type <> 'revisit'").unionByName(revisits)
 
 
 def archived(pages: DataFrame, folder: str | None = None) -> DataFrame:

@@ -147,6 +147,20 @@ def test_broken_archives():
             list(warc.records(bad))
 
 
+def test_revisits_are_held_to_their_responses(spark):
+    a, b = b"payload", b"another"
+    found = [
+        warc.record(1, "u", a, warc.digest(a), None), warc.record(2, "u", a, warc.digest(a), 1), warc.record(3, "u", b, warc.digest(b), 1),
+        warc.record(4, "u", a, warc.digest(a), 99), warc.record(5, "u", a + a, warc.digest(a), 1),
+        warc.record(6, "u", b, warc.digest(a), None), warc.record(7, "u", b, warc.digest(a), 6),
+    ]
+    content = b"".join(map(warc.member, found))
+    files = spark.createDataFrame([("x", bytearray(content))], "path string, content binary")
+    for payloads in (False, True):
+        got = {r.page_id: r.verified for r in warc.read(files, payloads).collect()}
+        assert got == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False, 7: False}
+
+
 def test_files_read_by_spark(spark, pages, tmp_path):
     for f in warc.archives(pages, 600).collect():
         (tmp_path / f.path).write_bytes(f.content)
