@@ -40,6 +40,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -56,10 +57,15 @@ RANK_SHIFT = 10.0
 UNKNOWN_PENALTY = 5.0
 #: Small lattices that a worker remembers, and the longest that are made together.
 CACHE, SHORT = 350_000, 40
+#: Branches of less mass than this are summed edge by edge, as 1 - p would lose digits.
+THIN = 1e-6
 #: Steps after which a walk takes a new random number.
 FRESH = 10
 MODEL = "piece_bpe_32k.model"
 
+#: Kinds of characters: in longer pieces, the word mark, in no longer piece.
+INNER, SPACE, ALONE = 0, 1, 2
+
 _M1, _M2, _GOLD = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
 
@@ -81,11 +87,59 @@ def uniform(key: np.ndarray, stream: int, counter: np.ndarray) -> np.ndarray:
         return ((mixed(at) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-class _Starts(dict):
-    """Start states by chunk; -1 for a chunk that isn't there."""
+class Starts:
+    """Start states by the two hashes of a chunk, in a table that arrays are looked up in."""
+
+    def __init__(self, most: int):
+        self.slots = 1 << (2 * most).bit_length()
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.check = (np.zeros(self.slots, dtype=np.uint64) for _ in range(2))
+        self.state = np.full(self.slots, -1, dtype=np.int32)
+        self.held = 0
 
-    def __missing__(self, chunk: str) -> int:
-        return -1
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key * _GOLD) >> np.uint64(32)).astype(np.int64) & (self.slots - 1)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The states; -1 for a chunk that isn't there."""
+        at = self._slot(key)
+        out = self.state[at]
+        on = np.flatnonzero((out >= 0) & ((self.key[at] != key) | (self.check[at] != check)))
+        while len(on):
+            at[on] = (at[on] + 1) & (self.slots - 1)
+            here = at[on]
+            out[on] = self.state[here]
+            on = on[(out[on] >= 0) & ((self.key[here] != key[on]) | (self.check[here] != check[on]))]
+        return out
+
+    def put(self, key: np.ndarray, check: np.ndarray, state: np.ndarray) -> None:
+        """Keys that aren't there, each once."""
+        at, left = self._slot(key), np.arange(len(key))
+        while len(left):
+            free = left[self.state[at[left]] < 0]
+            self.state[at[free]] = state[free]  # of several for one slot the last stays
+            done = free[self.state[at[free]] == state[free]]
+            self.key[at[done]], self.check[at[done]] = key[done], check[done]
+            left = np.setdiff1d(left, done, assume_unique=True)
+            at[left] = (at[left] + 1) & (self.slots - 1)
+        self.held += len(key)
+
+
+@dataclass
+class Chunks:
+    """The chunks of a batch of texts, as places in its characters."""
+
+    chars: np.ndarray
+    heads: np.ndarray
+    lengths: np.ndarray
+    #: how many chunks each text has
+    of_text: np.ndarray
+
+    def text(self, i: int) -> str:
+        return "".join(map(chr, self.chars[self.heads[i] : self.heads[i] + self.lengths[i]].tolist()))
 
 
 class Lattices:
@@ -115,12 +169,13 @@ class Lattices:
         self.has_bytes = all(m.is_byte(i) for i in self.bytes)
         spanning = re.compile("[^▁]▁")
         joined = {c for p in self.pieces if len(p) > 1 for c in p} - {"▁"}
-        inner = "".join(map(re.escape, sorted(joined)))
-        if any(spanning.search(p) for p in self.pieces):
-            self.cut = re.compile(r".+", re.S)
-        else:
-            self.cut = re.compile(f"▁*[{inner}]+|▁+|.", re.S) if inner else re.compile(".", re.S)
+        #: no border is safe if a piece goes on after its word's end
+        self.whole = any(spanning.search(p) for p in self.pieces)
+        self.kind = np.full(0x110000, ALONE, dtype=np.uint8)
+        self.kind[[ord(c) for c in joined]] = INNER
+        self.kind[ord("▁")] = SPACE if joined else ALONE
         self._plant()
+        self._known = Starts(CACHE)
         #: several ids for one character, known by negative numbers
         self.groups: list[tuple[int, ...]] = []
         self.group_of: dict[str, int] = {}
@@ -171,13 +226,14 @@ class Lattices:
         return out
 
     def clear(self) -> None:
-        self.start = _Starts()
+        self._known.clear()
         self.q = np.zeros(1 << 16)
         self.before = np.zeros(1 << 16, dtype=np.int32)
         self.ids = np.zeros(1 << 16, dtype=np.int32)
         #: of each state its first edge; the next state's first edge ends them
         self.first = np.zeros(1 << 15, dtype=np.int32)
         self.n_edges = self.n_states = 0
+        self.mark: tuple[int, int] | None = None
 
     def _spelled(self, c: str) -> int:
         """The id of a character's single token, or the number of its group of ids."""
@@ -191,11 +247,12 @@ class Lattices:
                 self.group_of[c] = -len(self.groups)
         return self.group_of[c]
 
-    def _add(self, chunks: list[str]) -> None:
-        """The forward passes of many chunks, all of them a character further at a time."""
-        chunks = sorted(chunks, key=len)
-        sizes = np.asarray([len(c) for c in chunks])
-        chars = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    def _add(self, chars: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The forward passes of many chunks, all of them a character further at a time.
+
+        ``chars`` are their characters, chunk by chunk. Returns their start states.
+        """
+        chars = chars.astype(np.int64)
         total, start = len(chars), np.cumsum(sizes) - sizes
         room = np.repeat(start + sizes, sizes) - np.arange(total)  # characters up to the chunk's end
         # edges: pieces walked down the trie from every place at once
@@ -225,14 +282,14 @@ class Lattices:
         begin, length, weight, id_ = (np.concatenate(x[::-1]) for x in (begins, lengths, weights, ids))
         end = begin + length
         # a state for each place of a chunk, from its start (no edge) to its end
-        chunk = np.repeat(np.arange(len(chunks)), sizes)
+        chunk = np.repeat(np.arange(len(sizes)), sizes)
         shift = chunk[begin]
         begin, end = begin + shift, end + shift
-        depth = end - (start + np.arange(len(chunks)))[shift]
-        order = np.argsort(depth * np.int64(total + len(chunks)) + end, kind="stable")
+        depth = end - (start + np.arange(len(sizes)))[shift]
+        order = np.argsort(depth * np.int64(total + len(sizes)) + end, kind="stable")
         begin, end, weight, depth = begin[order], end[order], weight[order], depth[order]
         heads = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
-        mass = np.ones(total + len(chunks))
+        mass = np.ones(total + len(sizes))
         levels = np.searchsorted(depth, np.arange(1, int(sizes.max()) + 2))
         scale = weight.copy()
         for lo, hi in zip(levels, levels[1:]):
@@ -244,13 +301,13 @@ class Lattices:
         q[np.repeat(count, count) == 1] = 1.0
         # edges in the order of their states
         by_state = np.argsort(end, kind="stable")
-        n_edges = np.bincount(end, minlength=total + len(chunks))
+        n_edges = np.bincount(end, minlength=total + len(sizes))
         self._put(q[by_state], begin[by_state], id_[order][by_state], n_edges)
-        ends = start + sizes + np.arange(len(chunks))
-        base = self.n_states - total - len(chunks)
-        self.start.update(zip(chunks, (ends + base).tolist()))
+        ends = start + sizes + np.arange(len(sizes))
+        base = self.n_states - total - len(sizes)
+        return (ends + base).astype(np.int32)
 
-    def _add_long(self, chunk: str) -> None:
+    def _add_long(self, chunk: str) -> int:
         """The forward pass of one long chunk, place by place.
 
         Masses are kept relative to a place nearby, as they'd leave the range of doubles.
@@ -275,7 +332,7 @@ class Lattices:
                 low = max(0, i + 1 - longest)
                 mass[low:] = [x / total for x in mass[low:]]
         self._put(np.asarray(q), np.asarray(before), np.asarray(ids, dtype=np.int32), np.asarray(counts))
-        self.start[chunk] = self.n_states - 1
+        return self.n_states - 1
 
     def _put(self, q: np.ndarray, before: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         """Appends states with ``counts`` edges; ``before`` counts from the first of them."""
@@ -291,24 +348,78 @@ class Lattices:
         self.n_edges, self.n_states = e + len(q), s + len(counts)
         self.first = put(self.first, s, np.concatenate([[e], e + np.cumsum(counts)]))
 
-    def chunks(self, text: str | None) -> list[str]:
-        return self.cut.findall(self.model.normalize(text)) if text else []
-
-    def starts(self, chunks: list[str]) -> np.ndarray:
-        """Start states; new chunks are added."""
-        found = np.fromiter(map(self.start.__getitem__, chunks), dtype=np.int32, count=len(chunks))
-        missing = np.flatnonzero(found < 0).tolist()
-        if missing:
-            wanted = [chunks[i] for i in missing]
-            new = list(dict.fromkeys(wanted))
-            short = [c for c in new if len(c) <= SHORT]
-            if short:
-                self._add(short)
-            for c in new:
-                if len(c) > SHORT:
-                    self._add_long(c)
-            found[missing] = [self.start[c] for c in wanted]
-        return found
+    def chunks(self, texts: list[str | None]) -> Chunks:
+        """All texts cut at the borders that no piece spans."""
+        normal = [self.model.normalize(t) if t else "" for t in texts]
+        chars = np.frombuffer("".join(normal).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        sizes = np.asarray([len(t) for t in normal], dtype=np.int64)
+        first = np.cumsum(sizes) - sizes
+        if self.whole:
+            new = np.zeros(len(chars), dtype=bool)
+        else:
+            # runs of word marks lead a run of inner characters; all else stands alone
+            kind = self.kind[chars]
+            new = kind == ALONE
+            new[1:] |= (kind[:-1] == ALONE) | ((kind[1:] == SPACE) & (kind[:-1] != SPACE))
+        new[first[sizes > 0]] = True
+        heads = np.flatnonzero(new)
+        of_text = np.searchsorted(heads, first + sizes) - np.searchsorted(heads, first)
+        return Chunks(chars, heads, np.diff(np.append(heads, len(chars))), of_text)
+
+    def starts(self, found: Chunks) -> np.ndarray:
+        """Start states of all chunks; new ones are added.
+
+        What no longer fits in the cache is made for this batch alone, and forgotten
+        by :meth:`forget`.
+        """
+        if not len(found.heads):
+            return np.zeros(0, dtype=np.int32)
+        place = np.arange(len(found.chars)) - np.repeat(found.heads, found.lengths)
+        most = int(found.lengths.max())
+        chars = found.chars.astype(np.uint64) + np.uint64(1)
+        with np.errstate(over="ignore"):
+            key, check = (
+                np.add.reduceat(chars * mixed(np.arange(most, dtype=np.uint64) + np.uint64(salt))[place], found.heads)
+                for salt in (1 << 32, 1 << 33)
+            )
+        state = self._known.find(key, check)
+        missing = np.flatnonzero(state < 0)
+        if not len(missing):
+            return state
+        _, first, back = np.unique(key[missing], return_index=True, return_inverse=True)
+        if self._known.held + len(first) > CACHE and 2 * len(missing) > len(state):
+            # other texts than those that filled the cache
+            self.clear()
+            missing = np.arange(len(state))
+            _, first, back = np.unique(key, return_index=True, return_inverse=True)
+        keep = self._known.held + len(first) <= CACHE
+        state[missing] = self._made(found, key, check, missing[first], keep)[back]
+        return state
+
+    def _made(self, found: Chunks, key: np.ndarray, check: np.ndarray, new: np.ndarray, keep: bool) -> np.ndarray:
+        """Start states of the chunks of the numbers ``new``, which aren't there yet."""
+        mark = self.n_edges, self.n_states
+        order = np.argsort(found.lengths[new], kind="stable")
+        lengths = found.lengths[new[order]]
+        out = np.empty(len(new), dtype=np.int32)
+        n = int(np.searchsorted(lengths, SHORT, side="right"))
+        if n:
+            sizes = lengths[:n]
+            shift = np.repeat(found.heads[new[order[:n]]] - (np.cumsum(sizes) - sizes), sizes)
+            out[order[:n]] = self._add(found.chars[np.arange(len(shift)) + shift], sizes)
+        for i in order[n:].tolist():
+            out[i] = self._add_long(found.text(int(new[i])))
+        if keep:
+            self._known.put(key[new], check[new], out)
+        else:
+            self.mark = mark
+        return out
+
+    def forget(self) -> None:
+        """Drops what was made for one batch alone."""
+        if self.mark is not None:
+            self.n_edges, self.n_states = self.mark
+            self.mark = None
 
     def walk(self, state: np.ndarray, key: np.ndarray, stream: int, counter: np.ndarray):
         """Steps from the states to their chunks' starts, by random choice.
@@ -389,115 +500,135 @@ class Sample:
         self.fixed = fixed  # step: edges taken there by this and earlier samples
 
 
-def _branch_values(q, edges, owner, heads, key, stream, limit, floor, taken):
+def _beside(lattices: Lattices, states: np.ndarray, edges: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The mass of a state's other edges, for each step; thin ones summed edge by edge."""
+    beside = 1.0 - p
+    thin = np.flatnonzero((beside < THIN) & (p < 1.0))
+    if len(thin):
+        first = lattices.first[states[thin]]
+        count = lattices.first[states[thin] + 1] - first
+        heads = np.cumsum(count) - count
+        all_edges = np.arange(int(count.sum())) + np.repeat(first - heads, count)
+        q = np.where(all_edges == np.repeat(edges[thin], count), 0.0, lattices.q[all_edges])
+        beside[thin] = np.add.reduceat(q, heads)
+    return beside
+
+
+def _branch_values(lattices, states, edges, owner, heads, key, stream, limit, floor, left):
     """Perturbed maxima of what lies beside each step.
 
     ``owner`` numbers the texts, ``heads`` are their first steps, ``limit`` their
-    perturbed values; steps before ``floor`` belong to earlier samples. ``taken`` is
-    the probability already used at the first open step.
+    perturbed values; steps before ``floor`` belong to earlier samples. ``left`` is
+    the mass that no sample has used yet at the first open step, negative if that's all.
     """
     n = len(edges)
-    p = q[edges]
+    p = lattices.q[edges]
     log_p = np.log(p)
     before = np.empty(n)
     for s, e in zip(heads, [*heads[1:], n]):  # a text's sums don't depend on its neighbours in the batch
         np.cumsum(log_p[s:e], out=before[s:e])
     before -= log_p
-    beside = np.where(p >= 1.0, 0.0, 1.0 - p)
-    place = np.arange(n) - heads[owner]
-    here = place == floor[owner]
-    beside = np.where(here, np.maximum(beside - taken[owner], 0.0), beside)
-    beside[beside < 1e-12] = 0.0
-    beside[place < floor[owner]] = 0.0
-    with np.errstate(divide="ignore"):
-        phi = before + np.log(beside)
-        e = -np.log(uniform(key[owner], stream, place))
-        value = phi - np.log(np.exp(np.minimum(phi - limit[owner], 700)) + e)
-    value[beside == 0] = -np.inf
+    beside = _beside(lattices, states, edges, p)
+    held = np.flatnonzero(left >= 0)
+    at = heads[held] + floor[held]
+    beside[at] = left[held]
+    if floor.any():
+        place = np.arange(n) - heads[owner]
+        beside[place < floor[owner]] = 0.0
+    else:
+        place = np.arange(n) - heads[owner]
+    on = np.flatnonzero(beside)  # most steps have no other edge
+    own = owner[on]
+    phi = before[on] + np.log(beside[on])
+    e = -np.log(uniform(key[own], stream, place[on]))
+    value = np.full(n, -np.inf)
+    value[on] = phi - np.log(np.exp(np.minimum(phi - limit[own], 700)) + e)
     return value
 
 
 def sample_batch(lattices: Lattices, texts: list[str | None], keys: np.ndarray, k: int = K) -> list[list[tuple]]:
     """For each text its samples: ``(ids, log_prob, perturbed, log_inclusion)``."""
-    if len(lattices.start) > CACHE:
-        lattices.clear()
-    chunks = [lattices.chunks(t) for t in texts]
-    sizes = np.asarray([len(c) for c in chunks])
+    cut = lattices.chunks(texts)
+    sizes = cut.of_text
     ends = np.cumsum(sizes)
-    starts = lattices.starts([c for x in chunks for c in x])
+    starts = lattices.starts(cut)
     n = len(texts)
     gumbel = -np.log(-np.log(uniform(keys, 0, np.zeros(n))))
     found: list[list[Sample]] = [[] for _ in range(n)]
-    # what each text's next sample starts from: steps that are fixed, then a state and chunks
-    prefix: list[tuple | None] = [(None, 0, np.zeros(0, np.int64), 0.0) for _ in range(n)]
+    # where each text's next sample leaves an earlier one: sample, step, fixed edges, mass left there
+    leaves: list[tuple] = [()] * n
+    live = np.arange(n)
     value = gumbel.copy()
     for r in range(k):
-        live = [i for i in range(n) if prefix[i] is not None]
-        if not live:
+        if not len(live):
             break
-        walk_state, walk_owner, walk_chunk = [], [], []
-        for i in live:
-            parent, at, fixed, _ = prefix[i]
-            first = ends[i] - sizes[i]
-            if parent is None:
-                own = np.arange(sizes[i])
-                state = starts[first : ends[i]]
-            else:
-                edge = int(fixed[-1])
-                c = int(parent.chunk[at])
-                own = np.arange(c + 1, sizes[i])
-                state = starts[first + c + 1 : ends[i]]
-                left = int(lattices.before[edge])
-                if lattices.first[left] < lattices.first[left + 1]:
-                    own = np.concatenate([[c], own])
-                    state = np.concatenate([np.asarray([left], dtype=np.int32), state])
-            walk_state.append(state)
-            walk_chunk.append(own)
-            walk_owner.append(np.full(len(own), i))
-        state, owner, chunk = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (walk_state, walk_owner, walk_chunk))
+        if r == 0:
+            state, owner = starts, np.repeat(live, sizes)
+            chunk = np.arange(len(starts)) - np.repeat(ends - sizes, sizes)
+        else:
+            state, owner, chunk = _tails(lattices, live, leaves, starts, sizes, ends)
         who, states, edges = lattices.walk(state, keys[owner], 2 * r + 1, chunk)
         new_owner, new_chunk = owner[who], chunk[who]
-        cuts = np.searchsorted(new_owner, live, side="left"), np.searchsorted(new_owner, live, side="right")
-        all_states, all_edges, all_chunks, floors, takens = [], [], [], [], []
-        for i, s, e in zip(live, *cuts):
-            parent, at, fixed, taken = prefix[i]
-            if parent is None:
-                all_states.append(states[s:e])
-                all_edges.append(edges[s:e])
-                all_chunks.append(new_chunk[s:e])
-                floors.append(0)
-            else:
-                all_states.append(np.concatenate([parent.states[: at + 1], states[s:e]]))
-                all_edges.append(np.concatenate([parent.edges[:at], fixed[-1:], edges[s:e]]))
-                all_chunks.append(np.concatenate([parent.chunk[: at + 1], new_chunk[s:e]]))
-                floors.append(at)
-            takens.append(taken)
-        lengths = np.asarray([len(x) for x in all_edges])
+        lo, hi = (np.searchsorted(new_owner, live, side=x).tolist() for x in ("left", "right"))
+        floors, left = np.zeros(len(live), dtype=np.int64), np.full(len(live), -1.0)
+        if r == 0:
+            parts = [(states[s:e], edges[s:e], new_chunk[s:e]) for s, e in zip(lo, hi)]
+            flat_states, flat = states, edges
+        else:
+            parts = []
+            for x, (i, s, e) in enumerate(zip(live.tolist(), lo, hi)):
+                parent, at, fixed, left[x] = leaves[i]
+                floors[x] = at
+                parts.append(
+                    (
+                        np.concatenate([parent.states[: at + 1], states[s:e]]),
+                        np.concatenate([parent.edges[:at], fixed[-1:], edges[s:e]]),
+                        np.concatenate([parent.chunk[: at + 1], new_chunk[s:e]]),
+                    )
+                )
+            flat_states, flat = (np.concatenate([x[c] for x in parts]) for c in (0, 1))
+        lengths = np.asarray([len(x[1]) for x in parts])
         heads = np.cumsum(lengths) - lengths
-        flat = np.concatenate(all_edges) if all_edges else np.zeros(0, np.int64)
         own = np.repeat(np.arange(len(live)), lengths)
-        if len(flat):
-            branch = _branch_values(
-                lattices.q, flat, own, heads, keys[live], 2 * r + 2, value[live], np.asarray(floors), np.asarray(takens)
-            )
-        else:
-            branch = np.zeros(0)
-        at = 0
-        for x, i in enumerate(live):
-            m = int(lengths[x])
-            parent, floor, fixed, _ = prefix[i]
-            found[i].append(
-                Sample(all_states[x], all_edges[x], all_chunks[x], float(value[i]), branch[at : at + m].copy(), (floor, fixed))
-            )
-            at += m
-        for i in live:  # the highest branch is where the next sample leaves
-            prefix[i] = _pop(lattices, found[i], keys[i], r) if r + 1 < k else None
-            if prefix[i] is not None:
-                value[i] = prefix[i][4]
-                prefix[i] = prefix[i][:4]
+        branch = (
+            _branch_values(lattices, flat_states, flat, own, heads, keys[live], 2 * r + 2, value[live], floors, left)
+            if len(flat)
+            else np.zeros(0)
+        )
+        for x, (i, at) in enumerate(zip(live.tolist(), heads.tolist())):
+            fixed = leaves[i][2] if r else _NONE
+            found[i].append(Sample(*parts[x], float(value[i]), branch[at : at + len(parts[x][1])], (int(floors[x]), fixed)))
+        if r + 1 < k:  # the highest branch is where the next sample leaves
+            for i in live.tolist():
+                leaves[i] = _pop(lattices, found[i], keys[i], r)
+            live = np.asarray([i for i in live.tolist() if leaves[i] is not None], dtype=np.int64)
+            for i in live.tolist():
+                *leaves[i], value[i] = leaves[i]
     flat = [x for samples in found for x in samples]
     ids = iter(lattices.tokens([x.edges for x in flat], [x.chunk for x in flat]))
-    return [_reported(lattices, samples, ids) for samples in found]
+    out = [_reported(lattices, samples, ids) for samples in found]
+    lattices.forget()
+    return out
+
+
+_NONE = np.zeros(0, dtype=np.int64)
+
+
+def _tails(lattices: Lattices, live, leaves, starts, sizes, ends):
+    """What the next samples still walk: the rest of the chunk they leave in, and later ones."""
+    states, chunks, counts = [], [], []
+    for i in live.tolist():
+        parent, at, fixed, _ = leaves[i]
+        c = int(parent.chunk[at])
+        first = int(ends[i] - sizes[i])
+        left = int(lattices.before[fixed[-1]])
+        inside = lattices.first[left] < lattices.first[left + 1]
+        if inside:
+            states.append(np.asarray([left], dtype=np.int32))
+        states.append(starts[first + c + 1 : int(ends[i])])
+        chunks.append(np.arange(c + (not inside), sizes[i]))
+        counts.append(len(chunks[-1]))
+    return np.concatenate(states), np.repeat(live, counts), np.concatenate(chunks)
 
 
 def _best(samples: list[Sample]) -> tuple[float, int, int]:
@@ -511,7 +642,7 @@ def _best(samples: list[Sample]) -> tuple[float, int, int]:
 
 
 def _pop(lattices: Lattices, samples: list[Sample], key: np.uint64, r: int) -> tuple | None:
-    """Takes the highest branch: its sample, step, edges used there, their share, value."""
+    """Takes the highest branch: its sample, step, edges used there, the mass left, value."""
     value, s, at = _best(samples)
     if s < 0:
         return None
@@ -524,8 +655,8 @@ def _pop(lattices: Lattices, samples: list[Sample], key: np.uint64, r: int) -> t
     p = lattices.q[free]
     u = float(uniform(np.asarray([key]), 1000 + r, np.asarray([at]))[0]) * p.sum()
     pick = free[min(int(np.searchsorted(np.cumsum(p), u, side="right")), len(free) - 1)]
-    share = float(lattices.q[list(used)].sum())
-    return sample, at, np.asarray([*sorted(used), pick]), share, value
+    left = float(sum(float(lattices.q[e]) for e in free if e != pick))
+    return sample, at, np.asarray([*sorted(used), pick]), left, value
 
 
 def _reported(lattices: Lattices, samples: list[Sample], ids: Iterator[np.ndarray]) -> list[tuple]:
@@ -573,12 +704,13 @@ def sampled_segmentations(
             for i, samples in enumerate(sample_batch(lattices, b.column(1).to_pylist(), keys, k)):
                 for j, (tokens, *scores) in enumerate(samples):
                     owner.append(i)
-                    rows.append((j, len(tokens), *scores, zlib.crc32(tokens.tobytes())))
+                    rows.append((j, len(tokens), *scores, zlib.crc32(tokens)))
                     ids.append(tokens)
             columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)]
             arrays = [b.column(0).take(pa.array(owner)), *columns]
             if with_ids:
-                arrays.append(pa.array(ids, pa.list_(pa.int64())))
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).view(np.int32))))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     kinds = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
@@ -586,7 +718,7 @@ def sampled_segmentations(
     kind = docs.schema[id_column].dataType.simpleString()
     schema = (
         f"doc_id {kind}, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long"
-        + ", ids array<long>" * with_ids
+        + ", ids array<int>" * with_ids
     )
     key = F.xxhash64(F.lit(seed), F.col(id_column).cast("string"))
     return docs.select(F.col(id_column), F.col(text_column), key).mapInArrow(run, schema)
