@@ -2,14 +2,17 @@
 
 The reader follows the chain of image directories of a file, in either byte
 order, and emits one row per page: strips or tiles, uncompressed or packed by
-PackBits, LZW or deflate, with horizontal differencing undone. The writer makes
-such files from byte payloads, several pages for long ones.
+PackBits, LZW or deflate, of 1, 8, 16 or 32 bits a sample, with horizontal or floating
+point differencing undone. The writer makes such files from byte payloads, several
+pages for long ones; a hash of the payload deals out codec, strips or tiles, predictor
+and byte order, so that every codec meets texts of every length.
 
 Defined results of :func:`stored`: a null text is stored as an empty one; payloads
 are padded with zero bytes to a positive multiple of 64; equal texts give equal
 files; repeated rows give repeated rows; further columns are ignored; an empty
-table gives an empty one. :func:`pages` gives no row for a null file and raises on
-bytes that are not TIFF, a directory loop, or data cut short.
+table gives an empty one. :func:`pages` gives no row for a null file; a file that
+can't be read (not TIFF, a directory loop, data cut short, an unknown compression)
+gives one row with ``error`` and without pages, and the job goes on.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from .common import text_chunks
 # Fixed values of the format: tags, compression and predictor codes, field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 273, 277, 278, 279
-PLANAR, PREDICTOR = 284, 317
+PLANAR, PREDICTOR, SAMPLE_FORMAT = 284, 317, 339
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
 NONE, LZW, DEFLATE_OLD, DEFLATE, PACKBITS = 1, 5, 32946, 8, 32773
 NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", DEFLATE_OLD: "deflate", PACKBITS: "packbits"}
@@ -41,8 +44,6 @@ ROW = 64
 STRIP_ROWS = 256
 PAGE_BYTES = 1 << 18
 TILE = 64
-#: Payloads up to so many bytes are stored by PackBits, LZW, deflated strips; longer ones by deflated tiles.
-PACKBITS_TO, LZW_TO, STRIPS_TO = 256, 1024, 1 << 15
 
 
 # ---- codecs -----------------------------------------------------------------
@@ -50,26 +51,28 @@ PACKBITS_TO, LZW_TO, STRIPS_TO = 256, 1024, 1 << 15
 
 def packbits(data: bytes) -> bytes:
     """Runs of three and more as pairs, all else as literals of up to 128."""
-    out, literal, i, n = bytearray(), bytearray(), 0, len(data)
-
-    def flush() -> None:
-        for s in range(0, len(literal), 128):
-            part = literal[s : s + 128]
-            out.append(len(part) - 1)
-            out.extend(part)
-        literal.clear()
-
-    while i < n:
-        j = i + 1
-        while j < n and j - i < 128 and data[j] == data[i]:
-            j += 1
-        if j - i >= 3:
-            flush()
-            out += bytes((257 - (j - i), data[i]))
-        else:
-            literal += data[i:j]
-        i = j
-    flush()
+    out = bytearray()
+
+    def literals(part: bytes) -> None:
+        for s in range(0, len(part), 128):
+            piece = part[s : s + 128]
+            out.append(len(piece) - 1)
+            out.extend(piece)
+
+    samples = np.frombuffer(data, dtype=np.uint8)
+    heads = np.flatnonzero(np.concatenate([[True], samples[1:] != samples[:-1]])) if len(data) else np.zeros(0, int)
+    sizes = np.diff(np.append(heads, len(data)))
+    runs = sizes >= 3
+    done = 0
+    for head, size in zip(heads[runs].tolist(), sizes[runs].tolist()):
+        literals(data[done:head])
+        done = head + size
+        while size >= 2:  # a single sample left over joins the next literals
+            n = min(size, 128)
+            out += bytes((257 - n, data[head]))
+            size -= n
+        done -= size
+    literals(data[done:])
     return bytes(out)
 
 
@@ -142,6 +145,8 @@ def unlzw(data: bytes, size: int) -> bytes:
             table = [*_SINGLE, b"", b""]
             width, last = 9, None
             continue
+        if code > len(table) or last is None and code >= len(table):
+            raise ValueError(f"LZW code {code} is not in the table")
         if last is None:
             word = table[code]
         else:
@@ -167,7 +172,7 @@ def decoded(data: bytes, compression: int, size: int) -> bytes:
     elif compression == LZW:
         got = unlzw(data, size)
     elif compression in (DEFLATE, DEFLATE_OLD):
-        got = zlib.decompress(data)
+        got = zlib.decompressobj().decompress(data, size)
     else:
         raise ValueError(f"compression {compression} is not supported")
     if len(got) < size:
@@ -190,6 +195,13 @@ def undifference(block: np.ndarray) -> np.ndarray:
     return np.cumsum(block, axis=1, dtype=block.dtype)
 
 
+def undifference_floats(raw: bytes, rows: int, columns: int, depth: int, size: int) -> np.ndarray:
+    """Floating point differencing: a row's bytes by significance, each less the one ``depth`` before."""
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(rows, -1, depth)
+    planes = np.cumsum(planes, axis=1, dtype=np.uint8).reshape(rows, size, columns * depth)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">f{size}").reshape(rows, columns, depth)
+
+
 # ---- writing ----------------------------------------------------------------
 
 
@@ -198,15 +210,22 @@ class Layout:
     compression: int = DEFLATE
     predictor: int = 1
     tiled: bool = False
+    order: str = "<"
+
+
+#: What the writer deals payloads out to; PackBits packs runs, which differencing would break.
+LAYOUTS = [
+    Layout(compression, predictor, tiled, order)
+    for compression, predictors in ((PACKBITS, (1,)), (LZW, (1, 2)), (DEFLATE, (1, 2)))
+    for predictor in predictors
+    for tiled in (False, True)
+    for order in "<>"
+]
 
 
-def layout_for(size: int) -> Layout:
-    """The writer's layout by payload size alone, so that equal texts have equal files."""
-    if size <= PACKBITS_TO:
-        return Layout(PACKBITS)
-    if size <= LZW_TO:
-        return Layout(LZW)
-    return Layout(DEFLATE, 1, False) if size <= STRIPS_TO else Layout(DEFLATE, 2, True)
+def layout_for(payload: bytes) -> Layout:
+    """The writer's layout by the payload's hash, so that equal texts have equal files."""
+    return LAYOUTS[zlib.crc32(payload) % len(LAYOUTS)]
 
 
 def _blocks(image: np.ndarray, layout: Layout) -> list[np.ndarray]:
@@ -223,8 +242,9 @@ def _blocks(image: np.ndarray, layout: Layout) -> list[np.ndarray]:
     return found
 
 
-def write(images: list[np.ndarray], layout: Layout, order: str = "<") -> bytes:
+def write(images: list[np.ndarray], layout: Layout) -> bytes:
     """A file with a page for each 8-bit grey image."""
+    order = layout.order
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
     link = 4
     for image in images:
@@ -274,12 +294,16 @@ def file_of(payload: bytes, layout: Layout | None = None) -> bytes:
     """A payload, a positive multiple of the row, as a TIFF file."""
     rows = np.frombuffer(payload, dtype=np.uint8).reshape(-1, ROW)
     step = PAGE_BYTES // ROW
-    return write([rows[s : s + step] for s in range(0, len(rows), step)], layout or layout_for(len(payload)))
+    return write([rows[s : s + step] for s in range(0, len(rows), step)], layout or layout_for(payload))
 
 
 # ---- reading ----------------------------------------------------------------
 
 
+#: Sample types by bits.
+KINDS = {1: "u1", 8: "u1", 16: "u2", 32: "u4"}
+
+
 @dataclass
 class Page:
     index: int
@@ -321,9 +345,10 @@ def read(data: bytes) -> Iterator[Page]:
         one = lambda tag, default=None: d[tag][0] if tag in d else default  # noqa: E731, B023
         width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
         bits, compression, predictor = one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
-        if bits not in (8, 16) or predictor not in (1, 2):
+        floats = one(SAMPLE_FORMAT, 1) == 3
+        if bits not in KINDS or predictor not in ((1,) if bits == 1 else (1, 3) if floats else (1, 2)) or floats and bits != 32:
             raise ValueError(f"{bits} bits with predictor {predictor} are not supported")
-        kind = np.dtype(np.uint8) if bits == 8 else np.dtype(d["order"] + "u2")
+        kind = np.dtype(d["order"] + ("f4" if floats else KINDS[bits]))
         planes = samples if one(PLANAR, 1) == 2 else 1
         depth = samples // planes
         tiled = TILE_OFFSETS in d
@@ -337,8 +362,14 @@ def read(data: bytes) -> Iterator[Page]:
             plane, k = divmod(k, across * down)
             y, x = k // across * block_h, k % across * block_w
             rows = block_h if tiled else min(block_h, height - y)
-            raw = decoded(data[at : at + n], compression, rows * block_w * depth * kind.itemsize)
-            block = np.frombuffer(raw, dtype=kind).astype(image.dtype).reshape(rows, block_w, depth)
+            raw = decoded(data[at : at + n], compression, rows * -(-block_w * depth * bits // 8))
+            if bits == 1:
+                packed = np.frombuffer(raw, dtype=np.uint8).reshape(rows, -1)
+                block = np.unpackbits(packed, axis=1, count=block_w * depth).reshape(rows, block_w, depth)
+            elif predictor == 3:
+                block = undifference_floats(raw, rows, block_w, depth, kind.itemsize).astype(image.dtype)
+            else:
+                block = np.frombuffer(raw, dtype=kind).astype(image.dtype).reshape(rows, block_w, depth)
             if predictor == 2:
                 block = undifference(block)
             target = image[y : y + rows, x : x + block_w, plane * depth : (plane + 1) * depth]
@@ -374,7 +405,7 @@ def stored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 PAGE_SCHEMA = (
     "page_index int, n_pages int, width int, height int, samples_per_pixel int, compression string, predictor int, "
     "tiled boolean, page_bytes long, page_sha256 string, file_bytes long, file_sha256 string, "
-    "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+    "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, error string"
 )
 
 
@@ -392,13 +423,20 @@ def pages(media: DataFrame, media_column: str = "media", keep: tuple[str, ...] =
             for i, data in enumerate(b.column(n_kept).to_pylist()):
                 if data is None:
                     continue
-                found = list(read(data))
+                try:
+                    found = list(read(data))
+                except (ValueError, TypeError, IndexError, ZeroDivisionError, KeyError, struct.error, zlib.error) as e:
+                    owner.append(i)
+                    rows.append((*[None] * 10, len(data), hashlib.sha256(data).hexdigest(), *[None] * 4, f"{type(e).__name__}: {e}", *[None] * pixels))
+                    continue
+                if not found:
+                    continue
                 flat = [p.samples.reshape(-1).view(np.uint8) for p in found]
                 whole = np.concatenate(flat) if len(flat) != 1 else flat[0]
                 raw = whole.tobytes()
                 of_file = (
                     len(data), hashlib.sha256(data).hexdigest(), len(raw), hashlib.sha256(raw).hexdigest(),
-                    zlib.crc32(raw[-64:]), feature(whole, found[0], len(found)) if found else "",
+                    zlib.crc32(raw[-64:]), feature(whole, found[0], len(found)), None,
                 )
                 for p, f in zip(found, flat):
                     h, w, s = p.samples.shape
