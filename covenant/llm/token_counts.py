@@ -5,7 +5,9 @@ ends in exactly one token ``t`` such that the encoding of the bytes before it
 ends in a token compatible with ``t``: the library would leave the two side by
 side. So ``count[i] = count[i - len(t)] + 1``, and one pass fills a table with
 the exact count of every prefix. Tables are kept per pre-token; a text's table is
-their running sum. Budget and truncation questions are then lookups.
+their running sum. Budget and truncation questions are then lookups: the longest
+prefix within a budget is sought in the running sum of the pre-tokens, and then in the
+table of the few characters where the budget runs out.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows
 give repeated rows; only the id and text columns are read, so further columns,
@@ -14,11 +16,11 @@ whatever their names, change nothing; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,19 +122,45 @@ class PrefixCounter:
                 self.totals[piece] = found
         return found
 
+    def _totals(self, part: str) -> tuple[list[str], list[int]]:
+        """Pre-tokens of a segment without special strings, and their counts."""
+        pieces, get = bpe.split(part), self.totals.get
+        found = [get(x) for x in pieces]
+        if None in found:
+            found = [self.total(x) if f is None else f for x, f in zip(pieces, found)]
+        return pieces, found
+
     def count(self, text: str) -> int:
         """Tokens of the whole text."""
-        total, get = 0, self.totals.get
-        for part in self.words.segments(text):
-            if part in self.words.special:
-                total += 1
-                continue
-            pieces = bpe.split(part)
-            found = [get(x) for x in pieces]
-            if None in found:
-                found = [self.total(x) if f is None else f for x, f in zip(pieces, found)]
-            total += sum(found)
-        return total
+        return sum(1 if x in self.words.special else sum(self._totals(x)[1]) for x in self.words.segments(text))
+
+    def answers(self, text: str, budget: int) -> tuple[int, int, int]:
+        """Tokens of the text, characters of its longest prefix within the budget, and its tokens."""
+        segments = self.words.segments(text)
+        if len(segments) > 1 or segments[0] in self.words.special:
+            counts = self.prefixes(text)
+            n = int(np.flatnonzero(counts <= budget)[-1]) if budget >= 0 else 0
+            return int(counts[-1]), n, int(counts[n])
+        pieces, found = self._totals(text)
+        total = sum(found)
+        if total <= budget:
+            return total, len(text), total
+        if budget < 0:
+            return total, 0, 0
+        sums = np.cumsum(found)
+        over = int(np.searchsorted(sums, budget, side="right"))
+        # a prefix that ends in a pre-token without spaces counts as the table says; from one to the next
+        # such end, both borders included, the few characters between are looked at one by one
+        first = over
+        while first and pieces[first - 1][-1] in bpe.SPACES:
+            first -= 1
+        last = over
+        while last + 1 < len(pieces) and pieces[last][-1] in bpe.SPACES:
+            last += 1
+        base = int(sums[first - 1]) if first else 0
+        counts = base + self.prefixes("".join(pieces[first : last + 1]))
+        n = int(np.flatnonzero(counts <= budget)[-1])
+        return total, sum(map(len, pieces[:first])) + n, int(counts[n])
 
     def _tail(self, tail: str) -> int:
         return sum(self.table(x)[-1] for x in bpe.split(tail))
@@ -191,8 +219,7 @@ class PrefixCounter:
 
     def fitting(self, text: str, budget: int) -> int:
         """Characters of the longest prefix of at most ``budget`` tokens."""
-        counts = self.prefixes(text)
-        return int(np.flatnonzero(counts <= budget)[-1]) if budget >= 0 else 0
+        return self.answers(text, budget)[1] if text else 0
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -211,25 +238,35 @@ def token_counts(
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """``(id, n_bytes, n_tokens, over_limit)`` of every whole text."""
+    """``(id, n_bytes, n_tokens, over_limit, fit_chars, fit_tokens)`` of every whole text.
+
+    The last two are the characters of the longest prefix within the budget and its
+    tokens; null for vocabularies without prefix tables.
+    """
     path = path or bpe.default_path()
     byte_level = bpe.vocabulary(path).byte_level if path.endswith(".json") else False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path).count if byte_level else _library_count(path)
+        if byte_level:
+            table = counter(path)
+            answer = lambda t: table.answers(t, budget) if t else (0, 0, 0)
+        else:
+            count = _library_count(path)
+            answer = lambda t: (count(t) if t else 0, None, None)
         for b in text_chunks(batches):
             texts = b.column(1).to_pylist()
-            sizes = np.asarray([len(bpe.utf8(t or "")) for t in texts], dtype=np.int64)
-            counts = np.asarray([count(t) if t else 0 for t in texts], dtype=np.int64)
+            sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
+            counts, chars, tokens = zip(*map(answer, texts)) if texts else ((), (), ())
+            counts = np.asarray(counts, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes), pa.array(counts), pa.array(counts > budget)],
-                names=["id", "n_bytes", "n_tokens", "over_limit"],
+                [b.column(0), sizes, pa.array(counts), pa.array(counts > budget), pa.array(chars, pa.int64()), pa.array(tokens, pa.int64())],
+                names=["id", "n_bytes", "n_tokens", "over_limit", "fit_chars", "fit_tokens"],
             )
 
     kind = docs.schema[id_column].dataType.simpleString()
     return (
         docs.select(F.col(id_column), F.col(text_column))
-        .mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+        .mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long, fit_tokens long")
         .withColumnRenamed("id", id_column)
     )
 
@@ -288,10 +325,9 @@ def truncated(
         for b in text_chunks(batches, limit=1 << 20):
             texts, counts = [], []
             for t in b.column(1).to_pylist():
-                prefix = table.prefixes(t or "")
-                n = int(np.flatnonzero(prefix <= budget)[-1]) if budget >= 0 else 0
+                _, n, tokens = table.answers(t, budget) if t else (0, 0, 0)
                 texts.append((t or "")[:n])
-                counts.append(int(prefix[n]))
+                counts.append(tokens)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64())],
                 names=["id", "text", "n_tokens"],
@@ -303,8 +339,3 @@ def truncated(
         .mapInArrow(run, f"id {kind}, text string, n_tokens long")
         .withColumnRenamed("id", id_column)
     )
-
-
-def fits_within(counts: list[int], budgets: list[int]) -> list[int]:
-    """For a non-decreasing running sum, how many leading parts fit each budget."""
-    return [bisect_right(counts, x) for x in budgets]
