@@ -46,14 +46,29 @@ def test_every_prefix_has_its_exact_count():
     for t in mixed_texts(400, 2):
         want = [len(library_ids(t[:i])) for i in range(len(t) + 1)]
         assert counter.prefixes(t).tolist() == want
-        assert counter.fitting(t, 3) == max(i for i, n in enumerate(want) if n <= 3)
+        for budget in range(max(want) + 2):
+            n = max(i for i, n in enumerate(want) if n <= budget)
+            assert counter.answers(t, budget) == (want[-1], n, want[n]) if t else counter.fitting(t, budget) == 0
+
+
+def brute_fit(text, budget=1024):
+    """The longest prefix within the budget by the library: a token has at least a byte, a few hundred at most."""
+    text, n = text or "", len(library_ids(text))
+    if n <= budget:
+        return len(text), n
+    low, high = 0, len(text)
+    while high - low > 1:  # counts hardly fall from one prefix to the next, so the border is near
+        middle = (low + high) // 2
+        low, high = (middle, high) if len(library_ids(text[:middle])) <= budget else (low, middle)
+    near = [(i, len(library_ids(text[:i]))) for i in range(low, min(low + 60, len(text)) + 1)]
+    return max(x for x in near if x[1] <= budget)
 
 
 def test_token_counts(spark, odd, none):
     got = token_counts.token_counts(odd)
-    assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars", "fit_tokens"]
     texts = [(r.doc_id, r.text) for r in odd.collect()]
-    want = sorted(((i, len((t or "").encode()), len(library_ids(t)), len(library_ids(t)) > 1024) for i, t in texts), key=str)
+    want = sorted(((i, len((t or "").encode()), len(library_ids(t)), len(library_ids(t)) > 1024, *brute_fit(t)) for i, t in texts), key=str)
     assert sorted(map(tuple, got.collect()), key=str) == want
     assert token_counts.token_counts(none).collect() == []
     cut = {r.doc_id: r for r in token_counts.truncated(odd.where("doc_id = 1"), 4).collect()}[1]
@@ -161,7 +176,29 @@ def test_near_duplicates(odd, none):
     assert simhash.near_duplicates(none).collect() == []
 
 
-def test_links_and_components_of_crowds(spark):
+def test_tallies():
+    """Pairs within lists, by the definition; each in the first list it meets in alone."""
+    random.seed(8)
+    sets = simhash.block_sets(2)
+    assert len(sets) == 6 and all(len(s) == 4 for s in sets)
+    centre = random.getrandbits(64)
+    prints = sorted({centre ^ sum(1 << random.randrange(64) for _ in range(random.randint(0, 3))) % (1 << 64) for _ in range(60)})
+    lists = defaultdict(list)
+    for fp in prints:
+        for i, s in enumerate(sets):
+            lists[i, tuple(fp >> 8 * p & 255 for p in s)].append(fp)
+    flat, sizes, which = [], [], []
+    for (i, _), fps in lists.items():
+        flat += fps
+        sizes.append(len(fps))
+        which.append(i)
+    a, b = simhash.tallied_links(np.asarray(flat, np.uint64), np.asarray(sizes), np.asarray(which), sets)
+    want = {(x, y) for i, x in enumerate(prints) for y in prints[i + 1 :] if (x ^ y).bit_count() <= 2}
+    assert len(a) == len(want) > 20 and set(zip(a.tolist(), b.tolist())) == want
+
+
+@pytest.mark.parametrize("longest", [512, 2])
+def test_links_and_components_of_crowds(spark, longest):
     random.seed(3)
     prints = []
     for _ in range(12):  # chains and clouds around a few centres
@@ -174,7 +211,7 @@ def test_links_and_components_of_crowds(spark):
     prints += [hub ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(a)][:900]  # one crowd within a few lists
     prints = sorted(set(prints))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    edges = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()
+    edges = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), longest_list=longest).collect()
     want = {(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if (a ^ b).bit_count() <= 2}
     assert {tuple(sorted((e.a % (1 << 64), e.b % (1 << 64)))) for e in edges} == want and len(edges) == len(want)
     found = {r.node: r.component for r in connected_components(spark.createDataFrame([(e.a, e.b) for e in edges], "a long, b long")).collect()}
@@ -188,7 +225,7 @@ def test_links_and_components_of_crowds(spark):
 def test_one_row_of_each_component_stays(spark):
     fruit, stone, river = "apple pear plum fig grape lime", "granite basalt marble slate chalk flint", "rhine danube elbe oder weser main"
     rows = [(None, fruit, "a")] * 3 + [(None, stone, "a"), (7, stone, "b"), (7, river, "c"), (9, river, "d"), (9, river, "e")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS key", "2 AS _key", "3 AS n", "4 AS fp")
     found = simhash.representatives(docs)
     assert found.columns == docs.columns
     assert sorted(map(str, ((r.doc_id, r.text) for r in found.collect()))) == sorted(map(str, [(None, fruit), (7, stone), (7, river)]))
