@@ -56,7 +56,7 @@ RANK_SHIFT = 10.0
 #: Log-weight of a character without a piece, below that of the last piece.
 UNKNOWN_PENALTY = 5.0
 #: Small lattices that a worker remembers, and the longest that are made together.
-CACHE, SHORT = 350_000, 40
+CACHE, SHORT = 220_000, 40
 #: Branches of less mass than this are summed edge by edge, as 1 - p would lose digits.
 THIN = 1e-6
 #: Steps after which a walk takes a new random number.
