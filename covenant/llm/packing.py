@@ -1,19 +1,24 @@
 """Best-fit packing of tokenised documents into fixed-length sequences.
 
-Documents become pieces of at most ``capacity`` tokens. Pieces are range-sorted
-by length, and so are gaps, the free ends of sequences that are begun. Packing
-then goes in bulk-synchronous sweeps: every waiting length looks for its
-successor, the smallest gap that holds it; where several want one gap, ranks
-decide (longer pieces first, then the order of the range sort); the matched gaps
-shrink, and the next sweep begins. Where no waiting length has a successor, new
-sequences are opened for the longest.
-
-Pieces of one length are interchangeable, and so are gaps of one size, so a sweep
-needs only how many there are of each: at most ``capacity`` numbers, whatever the
-corpus. The sweeps run on those numbers; what they decide is a list of runs
-("the pieces of rank a to b among those of length n go to sequences from s, at
-offset o"), which every partition of the sorted pieces applies to its own rows.
-No partition holds more than its share of a common length.
+Documents become pieces of at most ``capacity`` tokens. A piece longer than half a
+sequence opens one of its own; the free ends of sequences are the gap table. The rest
+is packed in bulk-synchronous rounds over two distributed tables, waiting pieces and
+gaps, of a few numbers a row:
+
+* Both are range-sorted together, from the largest down, and swept: a piece's successor
+  is the smallest gap before it that no longer piece has taken. Read downwards, gaps
+  are opening brackets and pieces closing ones, so a sweep is a matching of brackets.
+  Conflicts are resolved by rank: longer pieces first, then by row.
+* Each partition matches its own rows in array operations; what is left over are pieces
+  that its gaps can't serve, then gaps. Their numbers, two a partition, go to the
+  driver, which matches the partitions' left-overs as runs; the rows meet by an
+  equi-join on their place in a run.
+* Matched gaps shrink, and the next round begins. When no gap can serve any more, new
+  sequences are opened, as many as the waiting tokens fill, and the longest pieces are
+  dealt out to them by rank, back and forth, a few fewer a sequence than surely fit.
+
+Rounds go by how many pieces a sequence takes, not by rows. No partition holds more
+than its share of a common length.
 
 Defined results: a null text is packed as an empty one (only the end token);
 repeated rows are packed once for each row; documents of equal length go by id,
@@ -24,18 +29,17 @@ gives an empty one.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import cut, text_chunks
+from .common import cut, text_chunks, unused
 
 CAPACITY = 1024
 END_ID = 2
@@ -92,137 +96,191 @@ def token_pieces(
     return docs.select(F.col(id_column), F.col(text_column)).mapInArrow(run, schema)
 
 
-def successor_sweeps(lengths: dict[int, int], capacity: int) -> np.ndarray:
-    """Runs ``(length, first rank, count, first sequence, pieces a sequence, offset)``.
+PAIR, PIECE, GAP = 0, 1, 2
+SWEPT = "what byte, id long, size int, seq long, free int, part int, idx long"
+
+
+def brackets(is_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matched ``(pieces, gaps)`` of a sorted row of gaps and pieces, by their places.
 
-    ``lengths`` maps a length to the number of pieces that have it, so its size,
-    and the number of gap sizes, are bounded by ``capacity``.
+    A gap opens a bracket and a piece closes the last open one. On each level of the
+    running sum openings and closings take turns, so partners are neighbours there.
     """
-    waiting = {n: [0, k] for n, k in lengths.items() if k}  # length: next rank, how many
-    gaps: dict[int, list[list[int]]] = {}  # size: runs [first sequence, count]
-    sizes: list[int] = []
-    runs: list[tuple[int, ...]] = []
-    sequences = 0
-
-    def add(size: int, first: int, count: int) -> None:
-        if size <= 0 or not count:
+    steps = np.where(is_gap, 1, -1)
+    level = np.cumsum(steps) + ~is_gap  # after an opening, before a closing
+    order = np.argsort(level, kind="stable")
+    opens = is_gap[order[:-1]] & (level[order[:-1]] == level[order[1:]]) if len(order) else np.zeros(0, bool)
+    at = np.flatnonzero(opens)
+    return order[at + 1], order[at]
+
+
+def swept(items: DataFrame) -> DataFrame:
+    """One sweep within each partition of the range-sorted ``(size, what, id)`` rows.
+
+    Gives ``SWEPT`` rows: pairs, and the pieces and gaps left over, numbered in order.
+    """
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+        if not held:
             return
-        if size not in gaps:
-            gaps[size] = []
-            insort(sizes, size)
-        gaps[size].append([first, count])
-
-    def open_new(n: int) -> None:
-        nonlocal sequences
-        rank, count = waiting.pop(n)
-        fit = capacity // n
-        full, over = divmod(count, fit)
-        runs.append((n, rank, count, sequences, fit, 0))
-        add(capacity - fit * n, sequences, full)
-        if over:
-            add(capacity - over * n, sequences + full, 1)
-        sequences += full + bool(over)
-
-    for n in sorted((n for n in waiting if 2 * n > capacity), reverse=True):
-        open_new(n)  # no two of these share a sequence
-    while waiting:
-        wants: dict[int, list[int]] = {}
-        for n in sorted(waiting, reverse=True):
-            at = bisect_left(sizes, n)
-            if at < len(sizes):
-                wants.setdefault(sizes[at], []).append(n)
-        if not wants:
-            open_new(max(waiting))
-            continue
-        shrunk = []
-        for size, claimants in wants.items():
-            held = gaps.pop(size)
-            sizes.remove(size)
-            for n in claimants:
-                while held and n in waiting:
-                    first, count = held[-1]
-                    rank, left = waiting[n]
-                    k = min(count, left)
-                    runs.append((n, rank, k, first, 1, capacity - size))
-                    shrunk.append((size - n, first, k))
-                    held[-1] = [first + k, count - k]
-                    if k == count:
-                        held.pop()
-                    if k == left:
-                        del waiting[n]
-                    else:
-                        waiting[n] = [rank + k, left - k]
-            for first, count in held:
-                shrunk.append((size, first, count))
-        for x in shrunk:
-            add(*x)
-    return np.asarray(sorted(runs), dtype=np.int64).reshape(-1, 6)
+        size, what, key = (np.concatenate(c) for c in zip(*held))
+        part = TaskContext.get().partitionId()
+        pieces, gaps = brackets(what == GAP)
+        left = np.ones(len(size), dtype=bool)
+        left[pieces] = left[gaps] = False
+        rest_pieces, rest_gaps = (np.flatnonzero(left & (what == x)) for x in (PIECE, GAP))
+        at = np.concatenate([pieces, rest_pieces, rest_gaps])
+        seq, free = np.full(len(at), -1, dtype=np.int64), np.zeros(len(at), dtype=np.int32)
+        seq[: len(pieces)], free[: len(pieces)] = key[gaps], size[gaps]
+        kinds = np.repeat(np.asarray([PAIR, PIECE, GAP], dtype=np.int8), [len(pieces), len(rest_pieces), len(rest_gaps)])
+        idx = np.concatenate([np.zeros(len(pieces), dtype=np.int64), np.arange(len(rest_pieces)), np.arange(len(rest_gaps))])
+        columns = [kinds, key[at], size[at].astype(np.int32), seq, free, np.full(len(at), part, dtype=np.int32), idx]
+        for s in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[s : s + (1 << 16)]) for c in columns], names=names)
+
+    names = [x.split()[0] for x in SWEPT.split(", ")]
+    order = [F.col("size").desc(), F.col("what").desc(), F.col("id")]  # a gap comes before a piece that fills it
+    ranged = items.select("size", "what", "id").repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut(ranged.mapInArrow(sweep, SWEPT))
+
+
+def matched_runs(parts: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int, int]], dict[int, int], dict[int, int]]:
+    """Left-overs of ``(part, pieces, gaps)`` rows, matched across partitions.
+
+    Runs ``(part of the pieces, first piece, part of the gaps, last gap, count)``: one
+    piece after another takes one gap before another. Also, how many pieces and how
+    many gaps of each partition are matched: the first pieces, the last gaps.
+    """
+    runs, stack = [], []
+    served, taken = {}, {}
+    for part, pieces, gaps in sorted(parts):
+        first = 0
+        while first < pieces and stack:
+            of, free = stack.pop()
+            k = min(free, pieces - first)
+            runs.append((part, first, of, free - 1, k))
+            first += k
+            taken[of] = taken.get(of, 0) + k
+            if free > k:
+                stack.append((of, free - k))
+        if first:
+            served[part] = first
+        if gaps:
+            stack.append((part, gaps))
+    return runs, served, taken
+
+
+def _by_part(df: DataFrame, values: dict[int, int], name: str, other: int = 0) -> DataFrame:
+    """``df`` with a number for its ``part``, ``other`` where none is given."""
+    other = F.lit(other).cast("long")
+    if not values:
+        return df.withColumn(name, other)
+    table = df.sparkSession.createDataFrame(list(values.items()), f"part int, {name} long")
+    return df.join(F.broadcast(table), "part", "left").withColumn(name, F.coalesce(F.col(name), other))
+
+
+def _joined(found: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """``(id, size, seq, free)`` of the pairs that runs tell."""
+    numbered, base = [], 0
+    for part, first, of, last, count in runs:
+        numbered.append((part, first, of, last, count, base))
+        base += count
+    table = F.broadcast(found.sparkSession.createDataFrame(numbered, "p int, first long, g int, last long, n long, base long"))
+    idx = F.col("idx")
+    pieces = (
+        found.where(F.col("what") == PIECE)
+        .join(table, (F.col("part") == F.col("p")) & (idx >= F.col("first")) & (idx < F.col("first") + F.col("n")))
+        .select((F.col("base") + idx - F.col("first")).alias("pair"), "id", "size")
+    )
+    gaps = (
+        found.where(F.col("what") == GAP)
+        .join(table, (F.col("part") == F.col("g")) & (idx <= F.col("last")) & (idx > F.col("last") - F.col("n")))
+        .select((F.col("base") + F.col("last") - idx).alias("pair"), F.col("id").alias("seq"), F.col("size").alias("free"))
+    )
+    return pieces.join(gaps, "pair").drop("pair")
+
+
+def dealt(waiting: DataFrame, sequences: int, each: int, first: int) -> DataFrame:
+    """``(id, size, seq, offset)``: the longest waiting pieces, by ``rank``, on new sequences back and forth."""
+    turn, at = F.expr(f"rank div {sequences}"), F.col("rank") % sequences
+    place = F.when(turn % 2 == 0, at).otherwise(sequences - 1 - at)
+    before = Window.partitionBy("seq").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    return cut(
+        waiting.where(F.col("rank") < sequences * each)
+        .select("id", "size", (-1 - first - place).alias("seq"), turn.alias("turn"))
+        .withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
+        .drop("turn")
+    )
 
 
 def best_fit(pieces: DataFrame, capacity: int = CAPACITY, length_column: str = "length") -> DataFrame:
     """The rows of ``pieces`` with ``sequence_id`` and ``offset``.
 
-    Sent to the driver: the number of rows of each length in each range
-    partition. Partitions are sorted, so those are at most ``capacity`` plus the
-    number of partitions. Sent back: those, and the runs of the sweeps.
+    Sent to the driver, and back as a broadcast: a few numbers for each range partition
+    of a round.
     """
-    spark = pieces.sparkSession
-    columns = [c for c in pieces.columns if c != "ids"]
-    keyed = cut(pieces.withColumn("_row", F.monotonically_increasing_id()))
-    order = [F.col(length_column).desc(), *(F.col(c) for c in columns if c != length_column), F.col("_row")]
-    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    at = ranged.columns.index(length_column)
-
-    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), Counter()
-        for b in batches:
-            n = b.column(at).to_numpy(zero_copy_only=False)
-            rank = np.empty(len(n), dtype=np.int64)
-            for v in np.unique(n).tolist():
-                where = np.flatnonzero(n == v)
-                rank[where] = seen[v] + np.arange(len(where))
-                seen[v] += len(where)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(rank)],
-                names=[*b.schema.names, "_part", "_rank"],
-            )
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema)
-    sorted_rows = cut(ranged.mapInArrow(ranks, f"{schema}, _part int, _rank long"))
-    counts = sorted_rows.groupBy(length_column, "_part").agg(F.count(F.lit(1)).alias("n")).collect()
-    lengths: Counter = Counter()
-    first: dict[tuple[int, int], int] = {}
-    for n, part, count in sorted(tuple(r) for r in counts):
-        first[n, part] = lengths[n]
-        lengths[n] += count
-    runs = successor_sweeps(lengths, capacity)
-    plan = spark.sparkContext.broadcast((first, runs))
-    at_part, at_rank = sorted_rows.columns.index("_part"), sorted_rows.columns.index("_rank")
-    kept = [i for i, c in enumerate(sorted_rows.columns) if not c.startswith("_")]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, runs = plan.value
-        key = (runs[:, 0] << 44) + runs[:, 1]
-        for b in batches:
-            n = b.column(at).to_numpy(zero_copy_only=False)
-            part = b.column(at_part).to_numpy(zero_copy_only=False)
-            base = np.asarray([first[x] for x in zip(n.tolist(), part.tolist())], dtype=np.int64)
-            rank = b.column(at_rank).to_numpy(zero_copy_only=False) + base
-            run = runs[np.searchsorted(key, (n << 44) + rank, side="right") - 1]
-            nth = rank - run[:, 1]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(b.column(i) for i in kept),
-                    pa.array(run[:, 3] + nth // run[:, 4]),
-                    pa.array(run[:, 5] + nth % run[:, 4] * n),
-                ],
-                names=[*(b.schema.names[i] for i in kept), "sequence_id", "offset"],
-            )
-
-    schema = ", ".join(
-        f"`{sorted_rows.columns[i]}` {sorted_rows.schema[i].dataType.simpleString()}" for i in kept
-    )
-    return sorted_rows.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    row, seq, offset = (unused(pieces, x) for x in ("_row", "_seq", "_offset"))
+    keyed = cut(pieces.withColumn(row, F.monotonically_increasing_id()))
+    n = F.col(length_column)
+    opener = 2 * n > capacity
+    empty = keyed.sparkSession.createDataFrame([], "id long, seq long, offset long")
+    gaps = keyed.where(opener & (n < capacity)).select(F.col(row).alias("id"), (capacity - n).cast("int").alias("size"))
+    waiting = keyed.where(~opener).select(F.col(row).alias("id"), n.cast("int").alias("size"))
+    placed, opened = [empty], 0
+    while True:
+        found = swept(_items(waiting, gaps))
+        size = lambda kind: F.when(F.col("what") == kind, F.col("size"))
+        seen = found.groupBy("part").agg(
+            *(F.count(size(x)).alias(f"n{x}") for x in (PAIR, PIECE, GAP)),
+            F.sum(size(PIECE)).alias("tokens"), F.min(size(PIECE)).alias("least"), F.max(size(PIECE)).alias("longest"),
+            F.max(size(GAP)).alias("gap"), F.max(F.when(F.col("what") == PAIR, F.col("free") - F.col("size"))).alias("shrunk"),
+        ).collect()
+        runs, served, taken = matched_runs([(r.part, r.n1, r.n2) for r in seen])
+        pairs = found.where(F.col("what") == PAIR).select("id", "size", "seq", "free")
+        if runs:
+            pairs = pairs.union(_joined(found, runs))
+        placed.append(pairs.select("id", "seq", (capacity - F.col("free")).cast("long")))
+        left = {r.part: r.n1 - served.get(r.part, 0) for r in seen}
+        if not any(left.values()):
+            break
+        # the first pieces of a partition are served, so its least one waits if any does
+        least = min(r.least for r in seen if left[r.part])
+        longest = max(r.longest for r in seen if left[r.part])
+        kept = {r.part: r.n2 - taken[r.part] for r in seen if r.part in taken}
+        waiting = _by_part(found.where(F.col("what") == PIECE), served, "served").where("idx >= served")
+        gaps = _by_part(found.where(F.col("what") == GAP), kept, "kept", 1 << 62).where("idx < kept").select("id", "size")
+        gaps = gaps.union(pairs.select("seq", (F.col("free") - F.col("size")).cast("int"))).where(F.col("size") >= least)
+        if runs:
+            found_gap = gaps.limit(1).count() > 0
+            tokens = waiting.agg(F.sum("size")).first()[0]
+        else:
+            found_gap = max((x for r in seen for x in (r.gap, r.shrunk) if x is not None), default=0) >= least
+            tokens = sum(r.tokens for r in seen if left[r.part])
+        if not found_gap or not (runs or any(r.n0 for r in seen)):  # no gap serves any more
+            ranks, base = {}, 0
+            for part in sorted(left):
+                ranks[part] = base - served.get(part, 0)
+                base += left[part]
+            ranked = _by_part(waiting, ranks, "base").withColumn("rank", F.col("base") + F.col("idx"))
+            sequences, each = -(-tokens // capacity), max(1, capacity // longest - 2)
+            new = dealt(ranked, sequences, each, opened)
+            opened += sequences
+            placed.append(new.select("id", "seq", "offset"))
+            used = new.groupBy("seq").agg((capacity - F.sum("size")).cast("int").alias("size")).where("size > 0")
+            gaps = gaps.union(used.select(F.col("seq").alias("id"), "size"))
+            waiting = ranked.where(F.col("rank") >= sequences * each)
+        waiting = waiting.select("id", "size")
+    own = keyed.where(opener).withColumns({seq: F.col(row), offset: F.lit(0).cast("long")})
+    rest = reduce(DataFrame.union, placed).toDF(row, seq, offset)
+    rest = keyed.where(~opener).join(rest, row)
+    columns = [F.col(c) for c in pieces.columns]
+    return own.unionByName(rest).select(*columns, F.col(seq).alias("sequence_id"), F.col(offset).alias("offset"))
+
+
+def _items(waiting: DataFrame, gaps: DataFrame) -> DataFrame:
+    what = lambda df, kind: df.withColumn("what", F.lit(kind).cast("byte"))
+    return what(waiting, PIECE).unionByName(what(gaps, GAP))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, **columns) -> DataFrame:

@@ -113,6 +113,39 @@ def test_packing(odd, none):
     assert packing.pack_documents(none).collect() == []
 
 
+def plain_brackets(is_gap):
+    stack, found = [], set()
+    for i, gap in enumerate(is_gap):
+        if gap:
+            stack.append(i)
+        elif stack:
+            found.add((i, stack.pop()))
+    return found
+
+
+def test_sweeps():
+    """A sweep gives each piece its successor; partitions swept apart meet as if swept together."""
+    random.seed(6)
+    for _ in range(300):
+        sorted_rows = [random.random() < 0.5 for _ in range(random.randint(0, 40))]
+        want = plain_brackets(sorted_rows)
+        pieces, gaps = packing.brackets(np.asarray(sorted_rows, dtype=bool))
+        assert set(zip(pieces.tolist(), gaps.tolist())) == want
+        borders = [0, *sorted(random.choices(range(len(sorted_rows) + 1), k=4)), len(sorted_rows)]
+        found, parts, rest = set(), [], {}
+        for p, (s, e) in enumerate(zip(borders, borders[1:])):
+            a, b = packing.brackets(np.asarray(sorted_rows[s:e], dtype=bool))
+            used = {*a.tolist(), *b.tolist()}
+            found |= set(zip((a + s).tolist(), (b + s).tolist()))
+            for gap in (False, True):
+                rest[p, gap] = [s + i for i in range(e - s) if i not in used and sorted_rows[s + i] == gap]
+            parts.append((p, len(rest[p, False]), len(rest[p, True])))
+        runs, served, taken = packing.matched_runs(parts)
+        for part, first, of, last, k in runs:
+            found |= set(zip(rest[part, False][first : first + k], rest[of, True][last - k + 1 : last + 1][::-1]))
+        assert found == want and sum(served.values()) == sum(taken.values()) == sum(r[-1] for r in runs)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_is_tight(spark, seed):
     rng = np.random.default_rng(seed)
