@@ -96,8 +96,8 @@ def token_pieces(
     return docs.select(F.col(id_column), F.col(text_column)).mapInArrow(run, schema)
 
 
-PAIR, PIECE, GAP = 0, 1, 2
-SWEPT = "what byte, id long, size int, seq long, free int, part int, idx long"
+PAIR, PIECE, GAP, SUMMARY = 0, 1, 2, 3
+SWEPT = "what byte, id long, size int, seq long, free int, part int, idx long, summary array<long>"
 
 
 def brackets(is_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +117,9 @@ def brackets(is_gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def swept(items: DataFrame) -> DataFrame:
     """One sweep within each partition of the range-sorted ``(size, what, id)`` rows.
 
-    Gives ``SWEPT`` rows: pairs, and the pieces and gaps left over, numbered in order.
+    Gives ``SWEPT`` rows: pairs, the pieces and gaps left over, numbered in order, and
+    for each partition a summary: pairs, pieces and gaps left over, tokens of the pieces,
+    the least and the longest piece, the largest gap now.
     """
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +139,14 @@ def swept(items: DataFrame) -> DataFrame:
         idx = np.concatenate([np.zeros(len(pieces), dtype=np.int64), np.arange(len(rest_pieces)), np.arange(len(rest_gaps))])
         columns = [kinds, key[at], size[at].astype(np.int32), seq, free, np.full(len(at), part, dtype=np.int32), idx]
         for s in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c[s : s + (1 << 16)]) for c in columns], names=names)
+            some = [pa.array(c[s : s + (1 << 16)]) for c in columns]
+            yield pa.RecordBatch.from_arrays([*some, pa.nulls(len(some[0]), pa.list_(pa.int64()))], names=names)
+        sizes = size[rest_pieces]
+        gap = max(size[rest_gaps].max(initial=0), (size[gaps] - size[pieces]).max(initial=0))
+        summary = [len(pieces), len(rest_pieces), len(rest_gaps), sizes.sum(), sizes.min(initial=1 << 30), sizes.max(initial=0), gap]
+        row = [[SUMMARY], [-1], [0], [-1], [0], [part], [-1], [[int(x) for x in summary]]]
+        kinds = [pa.int8(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds)], names=names)
 
     names = [x.split()[0] for x in SWEPT.split(", ")]
     order = [F.col("size").desc(), F.col("what").desc(), F.col("id")]  # a gap comes before a piece that fills it
@@ -145,15 +154,14 @@ def swept(items: DataFrame) -> DataFrame:
     return cut(ranged.mapInArrow(sweep, SWEPT))
 
 
-def matched_runs(parts: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int, int]], dict[int, int], dict[int, int]]:
+def matched_runs(parts: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int, int]], dict[int, int]]:
     """Left-overs of ``(part, pieces, gaps)`` rows, matched across partitions.
 
     Runs ``(part of the pieces, first piece, part of the gaps, last gap, count)``: one
-    piece after another takes one gap before another. Also, how many pieces and how
-    many gaps of each partition are matched: the first pieces, the last gaps.
+    piece after another takes one gap before another. Also, how many pieces of each
+    partition are matched, the first ones.
     """
-    runs, stack = [], []
-    served, taken = {}, {}
+    runs, stack, served = [], [], {}
     for part, pieces, gaps in sorted(parts):
         first = 0
         while first < pieces and stack:
@@ -161,44 +169,60 @@ def matched_runs(parts: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int
             k = min(free, pieces - first)
             runs.append((part, first, of, free - 1, k))
             first += k
-            taken[of] = taken.get(of, 0) + k
             if free > k:
                 stack.append((of, free - k))
         if first:
             served[part] = first
         if gaps:
             stack.append((part, gaps))
-    return runs, served, taken
-
-
-def _by_part(df: DataFrame, values: dict[int, int], name: str, other: int = 0) -> DataFrame:
-    """``df`` with a number for its ``part``, ``other`` where none is given."""
-    other = F.lit(other).cast("long")
-    if not values:
-        return df.withColumn(name, other)
-    table = df.sparkSession.createDataFrame(list(values.items()), f"part int, {name} long")
-    return df.join(F.broadcast(table), "part", "left").withColumn(name, F.coalesce(F.col(name), other))
-
-
-def _joined(found: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> DataFrame:
-    """``(id, size, seq, free)`` of the pairs that runs tell."""
-    numbered, base = [], 0
-    for part, first, of, last, count in runs:
-        numbered.append((part, first, of, last, count, base))
-        base += count
-    table = F.broadcast(found.sparkSession.createDataFrame(numbered, "p int, first long, g int, last long, n long, base long"))
-    idx = F.col("idx")
-    pieces = (
-        found.where(F.col("what") == PIECE)
-        .join(table, (F.col("part") == F.col("p")) & (idx >= F.col("first")) & (idx < F.col("first") + F.col("n")))
-        .select((F.col("base") + idx - F.col("first")).alias("pair"), "id", "size")
-    )
-    gaps = (
-        found.where(F.col("what") == GAP)
-        .join(table, (F.col("part") == F.col("g")) & (idx <= F.col("last")) & (idx > F.col("last") - F.col("n")))
-        .select((F.col("base") + F.col("last") - idx).alias("pair"), F.col("id").alias("seq"), F.col("size").alias("free"))
-    )
-    return pieces.join(gaps, "pair").drop("pair")
+    return runs, served
+
+
+def told(found: DataFrame, runs: list[tuple[int, int, int, int, int]], ranks: dict[int, int]) -> DataFrame:
+    """``(what, id, size, pair, rank)`` of the rows left over.
+
+    ``pair`` is a row's place in the runs, ``rank`` a waiting piece's place; -1 for none.
+
+    ``ranks`` has the rank that the first piece of each partition would have. What is
+    broadcast are a few numbers for each partition.
+    """
+    table = np.asarray(runs, dtype=np.int64).reshape(-1, 5)
+    base = np.cumsum(table[:, 4]) - table[:, 4]
+    part = np.asarray(sorted(ranks), dtype=np.int64)
+    rank = np.asarray([ranks[p] for p in sorted(ranks)], dtype=np.int64)
+    of_pieces = (table[:, 0], table[:, 1], table[:, 4], base)
+    of_gaps = (table[:, 2], table[:, 3] - table[:, 4] + 1, table[:, 4], base)
+    sent = found.sparkSession.sparkContext.broadcast((of_pieces, of_gaps, part, rank))
+
+    def places(held: tuple, part: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The run of each row, and its place from the run's start; run -1 for none."""
+        order = np.lexsort((held[1], held[0]))
+        of, first, count = (c[order] for c in held[:3])
+        if not len(of):
+            return np.full(len(idx), -1), idx
+        at = np.searchsorted((of << 40) + first, (part << 40) + idx, side="right") - 1
+        place = idx - first[at]
+        return np.where((at >= 0) & (of[at] == part) & (place < count[at]), order[at], -1), place
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_pieces, of_gaps, parts, firsts = sent.value
+        for b in batches:
+            what, part, idx = (b.column(i).to_numpy().astype(np.int64) for i in (0, 3, 4))
+            pair = np.full(len(what), -1, dtype=np.int64)
+            for kind, held in ((PIECE, of_pieces), (GAP, of_gaps)):
+                mine = np.flatnonzero(what == kind)
+                at, place = places(held, part[mine], idx[mine])
+                hit = at >= 0
+                mine, at, place = mine[hit], at[hit], place[hit]
+                # pieces go up a run as gaps go down
+                pair[mine] = held[3][at] + (place if kind == PIECE else held[2][at] - 1 - place)
+            waits = (what == PIECE) & (pair < 0)
+            rank = np.full(len(what), -1, dtype=np.int64)
+            rank[waits] = firsts[np.searchsorted(parts, part[waits])] + idx[waits]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(pair), pa.array(rank)], names=["what", "id", "size", "pair", "rank"])
+
+    left = found.where(F.col("what").isin(PIECE, GAP)).select("what", "id", "size", "part", "idx")
+    return cut(left.mapInArrow(run, "what byte, id long, size int, pair long, rank long"))
 
 
 def dealt(waiting: DataFrame, sequences: int, each: int, first: int) -> DataFrame:
@@ -230,39 +254,32 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, length_column: str = "
     placed, opened = [empty], 0
     while True:
         found = swept(_items(waiting, gaps))
-        size = lambda kind: F.when(F.col("what") == kind, F.col("size"))
-        seen = found.groupBy("part").agg(
-            *(F.count(size(x)).alias(f"n{x}") for x in (PAIR, PIECE, GAP)),
-            F.sum(size(PIECE)).alias("tokens"), F.min(size(PIECE)).alias("least"), F.max(size(PIECE)).alias("longest"),
-            F.max(size(GAP)).alias("gap"), F.max(F.when(F.col("what") == PAIR, F.col("free") - F.col("size"))).alias("shrunk"),
-        ).collect()
-        runs, served, taken = matched_runs([(r.part, r.n1, r.n2) for r in seen])
+        seen = {r.part: r.summary for r in found.where(F.col("what") == SUMMARY).select("part", "summary").collect()}
+        runs, served = matched_runs([(part, x[1], x[2]) for part, x in seen.items()])
+        ranks, left = {}, 0
+        for part in sorted(seen):
+            ranks[part] = left - served.get(part, 0)
+            left += seen[part][1] - served.get(part, 0)
+        rows = told(found, runs, ranks)
         pairs = found.where(F.col("what") == PAIR).select("id", "size", "seq", "free")
+        across = rows.where("pair >= 0")
+        these = across.where(F.col("what") == PIECE).select("pair", "id", "size")
+        those = across.where(F.col("what") == GAP).select("pair", F.col("id").alias("seq"), F.col("size").alias("free"))
         if runs:
-            pairs = pairs.union(_joined(found, runs))
+            pairs = pairs.union(cut(these.join(those, "pair").drop("pair")))
         placed.append(pairs.select("id", "seq", (capacity - F.col("free")).cast("long")))
-        left = {r.part: r.n1 - served.get(r.part, 0) for r in seen}
-        if not any(left.values()):
+        if not left:
             break
         # the first pieces of a partition are served, so its least one waits if any does
-        least = min(r.least for r in seen if left[r.part])
-        longest = max(r.longest for r in seen if left[r.part])
-        kept = {r.part: r.n2 - taken[r.part] for r in seen if r.part in taken}
-        waiting = _by_part(found.where(F.col("what") == PIECE), served, "served").where("idx >= served")
-        gaps = _by_part(found.where(F.col("what") == GAP), kept, "kept", 1 << 62).where("idx < kept").select("id", "size")
+        holds = [x for part, x in seen.items() if x[1] > served.get(part, 0)]
+        least, longest = min(x[4] for x in holds), max(x[5] for x in holds)
+        ranked = rows.where("rank >= 0")
+        gaps = rows.where((F.col("what") == GAP) & (F.col("pair") < 0)).select("id", "size")
         gaps = gaps.union(pairs.select("seq", (F.col("free") - F.col("size")).cast("int"))).where(F.col("size") >= least)
-        if runs:
-            found_gap = gaps.limit(1).count() > 0
-            tokens = waiting.agg(F.sum("size")).first()[0]
-        else:
-            found_gap = max((x for r in seen for x in (r.gap, r.shrunk) if x is not None), default=0) >= least
-            tokens = sum(r.tokens for r in seen if left[r.part])
-        if not found_gap or not (runs or any(r.n0 for r in seen)):  # no gap serves any more
-            ranks, base = {}, 0
-            for part in sorted(left):
-                ranks[part] = base - served.get(part, 0)
-                base += left[part]
-            ranked = _by_part(waiting, ranks, "base").withColumn("rank", F.col("base") + F.col("idx"))
+        waiting = ranked
+        n_pairs = sum(x[0] for x in seen.values())
+        if not runs and (not n_pairs or max(x[6] for x in seen.values()) < least):  # no gap serves any more
+            tokens = sum(x[3] for x in holds)
             sequences, each = -(-tokens // capacity), max(1, capacity // longest - 2)
             new = dealt(ranked, sequences, each, opened)
             opened += sequences
