@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import changes, profile, states, validate
 from ..operators.changes import ChangeRefused
 from ..operators.validate import State, Table
-from . import migrate, sqlfront, statements
+from . import migrate, rowtext, sqlfront, statements
 from .contract import Contract, ContractError, cross_check
 
 
@@ -21,7 +21,8 @@ class Database:
 
     def __init__(self, spark: SparkSession, state: State, store: states.Store | None = None, row_findings: dict[str, DataFrame] | None = None):
         self.spark, self.state, self.store = spark, dict(state), store
-        self.row_findings = row_findings or {}
+        #: what the files broke when they were read, and the state that was
+        self.row_findings, self.opened = row_findings or {}, dict(self.state)
         problems = cross_check({n: t.contract for n, t in self.state.items()})
         if problems:
             raise ContractError(problems[0].code, "", problems[0].message)
@@ -103,11 +104,29 @@ class Database:
 
     # ---- judging ------------------------------------------------------------
 
+    def _rows_judged(self) -> dict[str, DataFrame]:
+        """Row findings of the state as it is: those of the opening, but for rows written since."""
+        out = {}
+        for n, found in self.row_findings.items():
+            now, then = self.state.get(n), self.opened.get(n)
+            if now is None:
+                continue
+            if now is not then and then is not None and now.rows.columns == then.rows.columns:
+                moved = rowtext.changed(then, now)
+                written = rowtext.image(then, moved, "before")
+                gone = written.select(Table(written, then.contract).path().alias("path")).distinct()
+                found = found.join(gone, "path", "left_anti").select(*found.columns)
+                found = found.unionAll(rowtext.findings(now, rowtext.image(now, moved, "after")))
+            elif now is not then:
+                found = rowtext.findings(now, now.rows)
+            out[n] = found
+        return out
+
     def check(self) -> DataFrame:
-        return validate.in_order(validate.judge(self.spark, self.state, self.row_findings))
+        return validate.in_order(validate.judge(self.spark, self.state, self._rows_judged()))
 
     def valid(self) -> bool:
-        return validate.judge(self.spark, self.state, self.row_findings).where("severity = 'error'").isEmpty()
+        return validate.judge(self.spark, self.state, self._rows_judged()).where("severity = 'error'").isEmpty()
 
     def lint(self, options: profile.Options = profile.Options()) -> DataFrame:
         parts = [profile.lint(self.spark, t, options) for t in self.state.values()]
@@ -127,16 +146,30 @@ class Database:
 
     # ---- changing -----------------------------------------------------------
 
-    def _admit(self, new: State, dry_run: bool = False) -> State:
-        """Findings that a change introduces refuse it; those that were there before don't."""
+    def _admit(self, new: State, dry_run: bool = False, written: dict[str, DataFrame] | None = None) -> State:
+        """Findings that a change introduces refuse it; those that were there before don't.
+
+        ``written`` has the changed rows of tables where they are known; of others they
+        are found by key. The state before is judged only if the new one has errors.
+        """
         touched = {n for n in {*new, *self.state} if new.get(n) is not self.state.get(n)}
-        before = validate.judge(self.spark, self.state, only=touched)
-        after = validate.judge(self.spark, new, only=touched)
+        moved = {}
+        for n in touched & set(new):
+            if new[n].contract.document:
+                moved[n] = (written or {}).get(n)
+                if moved[n] is None:
+                    moved[n] = rowtext.changed(self.state.get(n), new[n])
+        rows = {n: rowtext.findings(new[n], rowtext.image(new[n], d, "after")) for n, d in moved.items()}
         same = ["code", "path", "pointer", "constraint", "observed"]
         keyed = lambda d: d.where("severity = 'error'").select(*(F.coalesce(c, F.lit("")).alias(c) for c in same), "message")
-        worse = keyed(after).join(keyed(before).drop("message"), same, "left_anti").orderBy("path", "code").first()
-        if worse is not None:
-            raise ChangeRefused(worse["code"], f"{worse['path']}: {worse['message']}")
+        after = keyed(validate.judge(self.spark, new, rows, only=touched))
+        if not after.isEmpty():
+            known = {n: d for n, d in moved.items() if n in self.state and self.state[n].rows.columns == new[n].rows.columns}
+            held = {n: rowtext.findings(self.state[n], rowtext.image(self.state[n], d, "before")) for n, d in known.items()}
+            before = keyed(validate.judge(self.spark, self.state, held, only=touched))
+            worse = after.join(before.drop("message"), same, "left_anti").orderBy("path", "code").first()
+            if worse is not None:
+                raise ChangeRefused(worse["code"], f"{worse['path']}{worse['pointer']}: {worse['message']}")
         if not dry_run:
             self.state = new
         return new
@@ -147,28 +180,33 @@ class Database:
             raise ChangeRefused("PLAN_CHANGED", "the state is not the expected one")
         parts, commit = sqlfront.script(sql)
         state, out = dict(self.state), []
+        written: dict[str, DataFrame | None] = {}
         for s in parts:
             if sqlfront.classify(s) == "select":
                 out.append(statements.select(self.spark, state, s))
                 continue
             done = statements.run(self.spark, state, s)
+            for n in done.state:
+                if done.state[n] is not state.get(n):  # known rows only where one statement alone wrote
+                    own = n == done.table and done.state[n] is done.change.after
+                    written[n] = done.change.rows if own and n not in written else None
             state = done.state
             out.append(done.returning)
         if commit:
-            self._admit(state, dry_run)
+            self._admit(state, dry_run, written)
         return out
 
     @contextlib.contextmanager
     def transaction(self) -> Iterator[Database]:
         """Changes inside are kept together if the state they make is valid."""
         inside = Database(self.spark, self.state, None, {})
-        inside._admit = lambda new, dry_run=False: inside.state.update(new) or [inside.state.pop(n) for n in set(inside.state) - set(new)] or new  # noqa: SLF001
+        inside._admit = lambda new, dry_run=False, written=None: inside.state.update(new) or [inside.state.pop(n) for n in set(inside.state) - set(new)] or new  # noqa: SLF001
         yield inside
         self._admit(inside.state)
 
     def insert(self, name: str, rows: DataFrame, on_conflict: str = "error") -> changes.Change:
         c = changes.insert(self.table(name), rows, on_conflict)
-        self._admit(self.state | {name: c.after})
+        self._admit(self.state | {name: c.after}, written={name: c.rows})
         return c
 
     def update(self, name: str, where: Column, assign: dict[str, Column]) -> DataFrame:
@@ -181,7 +219,7 @@ class Database:
             self._admit(e.state)
             return e.induced
         c = changes.update(t, where, assign)
-        self._admit(self.state | {name: c.after})
+        self._admit(self.state | {name: c.after}, written={name: c.rows})
         return c.rows
 
     def delete(self, name: str, where: Column) -> DataFrame:
@@ -201,7 +239,7 @@ class Database:
     def import_(self, name: str, rows: DataFrame, mode: str = "insert") -> dict[str, int]:
         c, counts = changes.import_rows(self.table(name), rows, mode)
         found = {r["op"]: r["n"] for r in counts.collect()}
-        self._admit(self.state | {name: c.after})
+        self._admit(self.state | {name: c.after}, written={name: c.rows})
         return found
 
     def export(self, name: str, path: str, kind: str = "jsonl", where: Column | None = None, order: list | None = None) -> None:

@@ -214,6 +214,7 @@ class Outcome:
     change: Change
     induced: DataFrame
     returning: DataFrame | None
+    table: str = ""
 
 
 def _condition(spark: SparkSession, state: State, t: Table, where: str) -> tuple[Table, Column]:
@@ -266,7 +267,7 @@ def run(spark: SparkSession, state: State, sql: str) -> Outcome:
     if p.returning:
         shown = names if p.returning.strip() == "*" else [x.strip() for x in p.returning.split(",")]
         out = change.returning(*(F.expr(sqlfront.rewrite(x)) if isinstance(x, str) and x not in names else F.col(f"`{x}`") for x in shown))
-    return Outcome(e.state, change, e.induced, out)
+    return Outcome(e.state, change, e.induced, out, p.table)
 
 
 def _vacates(state: State, t: Table, p: Parsed) -> bool:
