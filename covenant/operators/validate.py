@@ -125,26 +125,24 @@ def dangling(state: State, table: Table, fk: ForeignKey) -> DataFrame:
 
 def broken_checks(table: Table, rule: Rule) -> DataFrame:
     """Rows for which the condition is false; null passes."""
-    rows = table.rows.where(~F.expr(rule.text)).select(F.lit(table.name).alias("table"), table.path().alias("path"))
+    from ..plans import statements
+
+    keyed = statements.with_keys(table)
+    rows = keyed.where(~statements.scalar(keyed.sparkSession, table, rule.text)).select(F.lit(table.name).alias("table"), table.path().alias("path"))
     return finding(rows, "CHECK_VIOLATION", f"{table.name}.{rule.name}", F.lit(f"the row breaks {rule.text}"), F.lit(None).cast("string"))
 
 
 def broken_assertions(spark: SparkSession, state: State, table: Table, rule: Rule) -> DataFrame:
     """Rows whose key the rule's query returns."""
-    named = spark.sql(_views(rule.text, state), **{n: t.rows for n, t in state.items()})
+    from ..plans import statements
+
+    named = statements.select(spark, state, rule.text)
     kinds = [(F.col(c), k) for c, (_, k) in zip(named.columns, table.contract.key_kinds())]
     keys = named.select(exact.key_of(kinds).alias("key")).distinct()
     hit = table.keys().join(keys, "key", "left_semi")
     return finding(hit, "ASSERTION_VIOLATION", f"{table.name}.{rule.name}", F.lit(rule.message or f"the row breaks {rule.name}"), F.col("key"), severity=rule.severity)
 
 
-def _views(text: str, state: State) -> str:
-    """Table names of a query as references to this state's DataFrames."""
-    from ..plans import sqlfront
-
-    return sqlfront.with_frames(text, set(state))
-
-
 def graph_edges(table: Table, edges: tuple[str, ...]) -> DataFrame:
     """``(a, b)``: from a row's key to the keys it names that exist."""
     kind = table.contract.column(table.contract.key[0]).kind

@@ -89,7 +89,7 @@ class Database:
         return self.query(f"SELECT * FROM {name}{f' WHERE {where}' if where else ''} ORDER BY {by}{cap}")
 
     def explain(self, sql: str) -> str:
-        return sqlfront.explain(self.spark, sql, {n: t.rows for n, t in self.state.items()})
+        return statements.explained(self.spark, self.state, sql)
 
     def page(self, sql: str, order: list, skip: int, take: int, cursor: str | None = None) -> tuple[DataFrame, bool, str]:
         """A window of a result and the state's token; a token of another state is refused."""

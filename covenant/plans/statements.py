@@ -3,123 +3,73 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import exact
+from ..functions import exact, sqlfunctions
 from ..operators import changes, referential
 from ..operators.changes import Change, ChangeRefused
 from ..operators.validate import State, Table
-from . import sqlfront
+from . import sqlfront, translate
 from .sqlfront import QueryError, Token, tokens
 
-COMPARE = frozenset({"=", "==", "<", ">", "<=", ">=", "<>", "!="})
-HIDDEN = "__key_"
-
-
-def exact_columns(state: State) -> dict[str, str]:
-    """Columns that compare by a key, by name: ``number`` or ``instant``."""
-    found: dict[str, set[str]] = {}
-    for t in state.values():
-        for c in t.contract.columns:
-            kind = {"decimal": "number", "integer": "number", "timestamp": "instant"}.get(c.kind, "plain")
-            found.setdefault(c.name, set()).add(kind)
-    return {n: k.pop() for n, k in found.items() if len(k) == 1 and k != {"plain"}}
+def kinds_of(t: Table) -> dict[str, str | None]:
+    """A table's columns and what they are: exact by contract, else by their type."""
+    by_type = {"long": "int", "integer": "int", "short": "int", "byte": "int", "double": "real", "float": "real", "string": "text", "boolean": "bool", "binary": "blob", "array": "array"}
+    out: dict[str, str | None] = {}
+    for f in t.rows.schema:
+        if f.name.startswith("_"):
+            continue
+        kind = t.contract.column(f.name).kind if t.contract.has(f.name) else ""
+        out[f.name] = translate.KINDS[kind] if translate.KINDS.get(kind) in translate.EXACT else by_type.get(f.dataType.typeName())
+    return out
 
 
 def with_keys(t: Table) -> DataFrame:
     """The table's rows with a hidden key beside each exact column."""
-    out = t.rows
-    for c in t.contract.columns:
-        if c.name in out.columns and c.kind in ("decimal", "integer", "timestamp"):
-            out = out.withColumn(HIDDEN + c.name, exact.sort_key(F.col(f"`{c.name}`"), c.kind))
-    return out
-
-
-def _key_of(kind: str, t: Token, args: list | None, number: int) -> str | None:
-    make = exact.number_key_of if kind == "number" else exact.instant_key_of
-    if t.kind == "number":
-        text = make(t.text if not t.text.startswith(".") else "0" + t.text)
-    elif t.kind == "text":
-        text = make(t.text[1:-1].replace("''", "'"))
-    elif t.kind == "mark" and t.text == "?" and isinstance(args, list):
-        args[number] = make(str(args[number]))
-        return "?"
-    else:
-        return None
-    return "'" + text.replace("'", "''") + "'"
-
-
-def by_key(sql: str, kinds: dict[str, str], args: list | None = None) -> str:
-    """Comparisons and orders of exact columns as those of their keys.
-
-    A column beside a comparison with a literal, a ``?`` or another exact column,
-    and a column that stands alone in ORDER BY, is replaced by its key.
-    """
-    ts = [t for t in tokens(sql)]
-    solid = [i for i, t in enumerate(ts) if t.kind != "space"]
-    at = lambda k: ts[solid[k]] if 0 <= k < len(solid) else Token("none", "")
-    out = [t.text for t in ts]
-    marks = {i: n for n, i in enumerate(i for i in solid if ts[i].kind == "mark" and ts[i].text == "?")}
-    ordering, depth = [False], 0
-
-    def key(k: int) -> None:
-        i = solid[k]
-        out[i] = HIDDEN + ts[i].text
-
-    for k in range(len(solid)):
-        t = at(k)
-        if t.text == "(":
-            depth += 1
-            ordering.append(False)
-        elif t.text == ")" and depth:
-            depth -= 1
-            ordering.pop()
-        if t.word == "BY" and at(k - 1).word == "ORDER":
-            ordering[-1] = True
-        elif t.word in ("LIMIT", "OFFSET", "ROWS", "RANGE", "GROUPS", "UNION", "SELECT"):
-            ordering[-1] = False
-        if t.kind != "name" or t.text not in kinds or at(k + 1).text in ("(", "."):
-            continue
-        start = k - 2 if at(k - 1).text == "." else k
-        before, after = at(start - 1), at(k + 1)
-        if ordering[-1] and (before.word == "BY" or before.text == ",") and (after.kind == "none" or after.text in (",", ")") or after.word in ("ASC", "DESC", "LIMIT", "NULLS", "ROWS", "RANGE")):
-            key(k)
-            continue
-        for sign, other in ((after, k + 2), (before, start - 2)):
-            if sign.text not in COMPARE:
-                continue
-            o = at(other)
-            if other == k + 2 and o.text == "-" and at(other + 1).kind == "number":
-                new = exact.number_key_of("-" + at(other + 1).text)
-                key(k)
-                out[solid[other]], out[solid[other + 1]] = "", f"'{new}'"
-                break
-            tail = other + 2 if at(other + 1).text == "." else other
-            if other == k + 2 and at(tail).kind == "name" and kinds.get(at(tail).text) == kinds[t.text] and at(tail + 1).text != "(":
-                key(k)
-                key(tail)
-                break
-            if other < k and o.kind == "name":
-                break  # done from the other side
-            new = _key_of(kinds[t.text], o, args, marks.get(solid[other], -1) if 0 <= other < len(solid) else -1)
-            if new is not None:
-                key(k)
-                out[solid[other]] = new
-            break
-    return "".join(out)
+    return t.rows.withColumns({translate.HIDDEN + n: exact.sort_key(F.col(f"`{n}`"), t.contract.column(n).kind) for n, k in kinds_of(t).items() if k in translate.EXACT})
+
+
+def translated(spark: SparkSession, state: State, sql: str, args: list | dict | None = None) -> DataFrame:
+    """A query of the dialect over a state's tables, with parameters as values."""
+    if sqlfront.classify(sql) != "select":
+        raise QueryError("QUERY_UNSUPPORTED", "only a SELECT is a query")
+    tr = translate.Translator(sql, {n: kinds_of(t) for n, t in state.items()}, args)
+    text, _ = tr.select(None, "top")
+    if tr.peek().kind != "none":
+        raise QueryError("QUERY_UNSUPPORTED", f"{tr.peek().text!r} where the query should end")
+    sqlfunctions.register(spark, tr.functions)
+    text = text.replace("{", "{{").replace("}", "}}")
+    heads = ", ".join(f"`{n}` AS (SELECT * FROM {{{n}}})" for n in sorted(tr.used))
+    if heads:
+        m = re.match(r"WITH (RECURSIVE )?", text)
+        text = f"WITH {m[1] or ''}{heads}, {text[m.end():]}" if m else f"WITH {heads} {text}"
+    frames = {n: with_keys(state[n]) for n in tr.used}
+    args = {k: v for k, v in tr.args.items() if re.search(rf":{re.escape(k)}\b", text)}
+    return spark.sql(text if frames else text.replace("{{", "{").replace("}}", "}"), args=args or None, **frames)
 
 
 def select(spark: SparkSession, state: State, sql: str, args: list | dict | None = None) -> DataFrame:
     """A SELECT over a state, exact columns compared by value."""
-    args = list(args) if isinstance(args, (list, tuple)) else args
-    text = by_key(sql, exact_columns(state), args if isinstance(args, list) else None)
-    frames = {n: with_keys(t) if HIDDEN in text else t.rows for n, t in state.items()}
-    frames = {n: f.drop(*(c for c in f.columns if c.startswith("_") and not c.startswith(HIDDEN))) for n, f in frames.items()}
-    out = sqlfront.query(spark, text, frames, args)
-    return out.drop(*(c for c in out.columns if c.startswith(HIDDEN)))
+    return translated(spark, state, sql, args)
+
+
+def explained(spark: SparkSession, state: State, sql: str, mode: str = "formatted") -> str:
+    """The plan of a query, as Spark words it."""
+    df = select(spark, state, re.sub(r"^\s*EXPLAIN(\s+QUERY\s+PLAN)?\s+", "", sql, flags=re.I))
+    return spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
+
+
+def scalar(spark: SparkSession, t: Table, expr: str, extra: dict[str, dict[str, str | None]] | None = None) -> Column:
+    """An expression over a table's row (with its hidden keys) as a Column."""
+    tr = translate.Translator(expr, {})
+    out = tr.expr(translate.Scope({t.name: kinds_of(t), **(extra or {})}, named={}))
+    if tr.peek().kind != "none":
+        raise QueryError("QUERY_UNSUPPORTED", f"{tr.peek().text!r} where the expression should end")
+    sqlfunctions.register(spark, tr.functions)
+    return F.expr(out.sql.replace(f"`{t.name}`.", ""))
 
 
 # ---- changes ----------------------------------------------------------------
@@ -135,6 +85,7 @@ class Parsed:
     where: str = ""
     conflict: str = "error"
     returning: str = ""
+    head: str = ""
 
 
 def _split_at(ts: list[Token], *words: str) -> dict[str, list[Token]]:
@@ -178,8 +129,12 @@ def _name(t: Token) -> str:
 def parse(sql: str) -> Parsed:
     """An INSERT, REPLACE, UPDATE or DELETE."""
     ts = [t for t in tokens(sql) if t.kind != "space"]
-    if ts and ts[0].word == "WITH":
-        raise QueryError("QUERY_UNSUPPORTED", "write the expression as a subquery of the change")
+    if ts and ts[0].word == "WITH":  # the expressions go in front of the change's queries
+        depth = 0
+        for i, t in enumerate(ts):
+            depth += (t.text == "(") - (t.text == ")")
+            if depth == 0 and t.word in sqlfront.WRITES:
+                return replace(parse(_text(ts[i:])), head=_text(ts[:i]) + " ")
     op = ts[0].word
     if op == "DELETE":
         p = _split_at(ts[2:], "WHERE", "RETURNING")
@@ -217,19 +172,17 @@ class Outcome:
     table: str = ""
 
 
-def _condition(spark: SparkSession, state: State, t: Table, where: str) -> tuple[Table, Column]:
+def _condition(spark: SparkSession, state: State, t: Table, p: Parsed) -> tuple[Table, Column]:
     """The condition as a Column; one with a subquery is decided by key beforehand."""
-    if not where:
-        return t, F.lit(True)
-    if re.search(r"\bselect\b", where, re.I):
-        hits = select(spark, state, f"SELECT {', '.join(t.contract.key)} FROM {t.name} WHERE {where}")
+    keyed = Table(with_keys(t), t.contract)
+    if not p.where:
+        return keyed, F.lit(True)
+    if re.search(r"\bselect\b", p.where, re.I):
+        hits = select(spark, state, f"{p.head}SELECT {', '.join(t.contract.key)} FROM {t.name} WHERE {p.where}")
         marked = hits.distinct().withColumn("_hit", F.lit(True))
-        rows = t.rows.join(marked, list(t.contract.key), "left").select(*(f"`{c}`" for c in t.rows.columns), "_hit")
+        rows = keyed.rows.join(marked, list(t.contract.key), "left").select(*(f"`{c}`" for c in keyed.rows.columns), "_hit")
         return Table(rows, t.contract), F.coalesce("_hit", F.lit(False))
-    text = by_key(where, exact_columns({t.name: t}))
-    if HIDDEN in text:
-        return Table(with_keys(t), t.contract), F.expr(sqlfront.rewrite(text))
-    return t, F.expr(sqlfront.rewrite(where))
+    return keyed, scalar(spark, t, p.where)
 
 
 def run(spark: SparkSession, state: State, sql: str) -> Outcome:
@@ -241,16 +194,17 @@ def run(spark: SparkSession, state: State, sql: str) -> Outcome:
     names = t.rows.columns
     if p.op == "insert":
         new = _new_rows(spark, state, t, p)
-        assign = {n: F.expr(sqlfront.rewrite(_old(e, t))) for n, e in p.assign}
+        sides = {"excluded": kinds_of(t), "old": kinds_of(t)}
+        assign = {n: scalar(spark, Table(t.rows, t.contract), _old(e, t), sides) for n, e in p.assign}
         change = changes.insert(t, new, p.conflict, assign)
     else:
-        marked, where = _condition(spark, state, t, p.where)
+        marked, where = _condition(spark, state, t, p)
         for n, _ in p.assign:
             t.contract.column(n)
         if p.op == "delete":
             change = changes.delete(marked, where)
         else:
-            change = changes.update(marked, where, {n: F.expr(sqlfront.rewrite(e)) for n, e in p.assign})
+            change = changes.update(marked, where, {n: scalar(spark, t, e) for n, e in p.assign})
         change = Change(Table(change.after.rows.select(*(f"`{c}`" for c in names)), t.contract), change.rows)
     after = state | {p.table: change.after}
     none = spark.createDataFrame([], referential.INDUCED)
@@ -266,7 +220,7 @@ def run(spark: SparkSession, state: State, sql: str) -> Outcome:
     out = None
     if p.returning:
         shown = names if p.returning.strip() == "*" else [x.strip() for x in p.returning.split(",")]
-        out = change.returning(*(F.expr(sqlfront.rewrite(x)) if isinstance(x, str) and x not in names else F.col(f"`{x}`") for x in shown))
+        out = change.returning(*(scalar(spark, t, x) if x not in names else F.col(f"`{x}`") for x in shown))
     return Outcome(e.state, change, e.induced, out, p.table)
 
 
@@ -296,7 +250,7 @@ def _new_rows(spark: SparkSession, state: State, t: Table, p: Parsed) -> DataFra
     unknown = [c for c in named if c not in t.rows.columns]
     if unknown:
         raise QueryError("UNKNOWN_COLUMN", f"{t.name} has no column {unknown[0]!r}")
-    df = select(spark, state, p.source)
+    df = select(spark, state, p.head + p.source)
     if len(df.columns) != len(named):
         raise QueryError("QUERY_TYPE_ERROR", f"{len(df.columns)} values for {len(named)} columns")
     return df.toDF(*named)
