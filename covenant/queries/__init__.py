@@ -33,6 +33,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries and their SQL."""
-    from . import baseline, changes, contracts, functions, profiles, relational, states, validation  # noqa: F401
+    from . import baseline, changes, contracts, engine, functions, profiles, relational, states, validation  # noqa: F401
 
     return dict(QUERIES), dict(ORACLES)

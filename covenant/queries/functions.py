@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dialect, exact, jsons
-from ..plans import shape, sqlfront
+from ..operators.validate import Table
+from ..plans import shape
+from ..plans.contract import from_spark
+from ..plans.database import Database
 from . import query, table
 
 
@@ -193,13 +196,13 @@ def fn_nfc(spark: SparkSession, d: str) -> DataFrame:
         FROM orders GROUP BY o_orderstatus"""
 )
 def sql_front_end(spark: SparkSession, d: str) -> DataFrame:
-    """A statement of the dialect, rewritten and run over the state's tables."""
-    return sqlfront.query(
-        spark,
+    """A statement of the dialect, run over the state's tables."""
+    orders = table(spark, d, "orders")
+    db = Database(spark, {"orders": Table(orders, from_spark("orders", orders.schema, ["o_orderkey"]))})
+    return db.query(
         """SELECT o_orderstatus, total(CASE WHEN o_totalprice > 1e9 THEN o_totalprice END) AS t, group_concat(DISTINCT o_orderstatus) AS names,
                iif(count(*) > 10, 'many', 'few') AS size, max(max(o_custkey, 50)) AS top
-           FROM orders GROUP BY o_orderstatus""",
-        {"orders": table(spark, d, "orders")},
+           FROM orders GROUP BY o_orderstatus"""
     )
 
 
