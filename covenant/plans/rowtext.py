@@ -21,7 +21,7 @@ def member(c: contracts.Column, x: Column, kind: T.DataType) -> Column:
     """A value's JSON text; null for null."""
     if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
         return F.to_json(x)
-    quoted = F.regexp_replace(F.to_json(F.array(x.cast("string"))), r"^\[|\]$", "")
+    quoted = F.when(x.isNotNull(), F.regexp_replace(F.to_json(F.array(x.cast("string"))), r"^\[|\]$", ""))
     if not isinstance(kind, T.StringType):
         return x.cast("string")
     if c.kind in NUMBERS:
