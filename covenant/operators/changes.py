@@ -249,16 +249,22 @@ def absent(t: Table, where: Column, column: str, present: str = "_present") -> T
     )
 
 
-def state_token(state: State) -> str:
-    """A hash of all rows of all tables that doesn't depend on their order."""
-    parts = []
-    for n in sorted(state):
-        t = state[n]
-        hashed = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(t.rows.columns)))), 256)
-        # two 64-bit sums of each hash: order-free, and one partial aggregate
-        low, high = (F.conv(F.substring(hashed, i, 15), 16, 10).cast("decimal(38,0)") for i in (1, 16))
-        r = t.rows.select(low.alias("l"), high.alias("h")).agg(F.sum("l"), F.sum("h"), F.count(F.lit(1))).first()
-        parts.append(f"{n}:{r[0]}:{r[1]}:{r[2]}")
+def table_token(t: Table) -> str:
+    """A hash of a table's rows that doesn't depend on their order."""
+    hashed = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(t.rows.columns)))), 256)
+    # two 64-bit sums of each hash: order-free, and one partial aggregate
+    low, high = (F.conv(F.substring(hashed, i, 15), 16, 10).cast("decimal(38,0)") for i in (1, 16))
+    r = t.rows.select(low.alias("l"), high.alias("h")).agg(F.sum("l"), F.sum("h"), F.count(F.lit(1))).first()
+    return f"{r[0]}:{r[1]}:{r[2]}"
+
+
+def token_of(parts: dict[str, str]) -> str:
+    """A state's token, of its tables'."""
     import hashlib
 
-    return hashlib.sha256("|".join(parts).encode()).hexdigest()
+    return hashlib.sha256("|".join(f"{n}:{parts[n]}" for n in sorted(parts)).encode()).hexdigest()
+
+
+def state_token(state: State) -> str:
+    """A hash of all rows of all tables that doesn't depend on their order."""
+    return token_of({n: table_token(t) for n, t in state.items()})

@@ -13,6 +13,8 @@ def shared_folder(spark: SparkSession) -> str:
     conf = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if conf is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: on a cluster a folder that all executors share is needed")
         sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="covenant-"))
         current = sc._jsc.sc().getCheckpointDir()
     return conf or current.get()

@@ -124,6 +124,8 @@ def expand(spark: SparkSession, state: State, moved: dict[str, DataFrame]) -> Ex
         if not following:
             break
         frontier = {n: cut(reduce(DataFrame.unionAll, parts)) for n, parts in following.items()}
+    else:
+        raise RuntimeError(f"the referential actions did not settle in {ROUNDS} rounds")
     for holder, fk, said in deferred:
         # refused only if the reference still names nothing when all is done
         loose = references(state[holder], fk).join(target_keys(state, fk), "key", "left_anti").select("path", "key")

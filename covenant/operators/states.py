@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -148,10 +149,16 @@ class Revision:
     tables: tuple[str, ...]
     token: str
     key: str | None = None  # of an idempotent change
+    #: of each table, a token of its rows and the revision whose directory holds them
+    tokens: dict = field(default_factory=dict, hash=False)
+    places: dict = field(default_factory=dict, hash=False)
 
 
 class Store:
-    """Revisions of a state in a folder that Spark reaches: a directory each, and a log.
+    """Revisions of a state in a folder that Spark reaches: directories of tables, and a log.
+
+    A revision writes the tables that changed since the one before; of others its log
+    entry names the directory that holds them.
 
     A revision's tables are written first and its log entry last, by one file that
     is created whole, so a reader sees a revision entirely or not at all.
@@ -186,22 +193,31 @@ class Store:
             raise KeyError(f"UNKNOWN_REVISION: {name}")
         return hits[0]
 
-    def commit(self, state: State, message: str = "", when: str = "", key: str | None = None, expect: str | None = None) -> Revision:
-        """Records a state; a key seen before gives the earlier revision."""
-        from .changes import state_token
+    def commit(self, state: State, message: str = "", when: str = "", key: str | None = None, expect: str | None = None, tokens: dict[str, str] | None = None) -> Revision:
+        """Records a state; a key seen before gives the earlier revision.
+
+        ``tokens`` are those of tables for which they are known.
+        """
+        from .changes import table_token, token_of
 
         log = self.log()
         if key is not None and (seen := [r for r in log if r.key == key]):
             return seen[0]
         if expect is not None and (not log or log[0].token != expect):
             raise ValueError("PLAN_CHANGED: the state is not the expected one")
-        token = state_token(state)
+        tokens = {n: (tokens or {}).get(n) or table_token(t) for n, t in state.items()}
+        token = token_of(tokens)
         parents = (log[0].id,) if log else ()
         number = log[0].number + 1 if log else 1
         rid = hashlib.sha256(f"{parents}{number}{token}{message}{uuid.uuid4().hex}".encode()).hexdigest()[:16]
+        places = {}
         for n, t in state.items():
+            if log and log[0].tokens.get(n) == tokens[n]:
+                places[n] = log[0].places[n]
+                continue
             t.rows.write.parquet(f"{self.folder}/states/{rid}/{n}")
-        revision = Revision(rid, number, parents, when, message, tuple(sorted(state)), token, key)
+            places[n] = rid
+        revision = Revision(rid, number, parents, when, message, tuple(sorted(state)), token, key, tokens, places)
         out = self._fs.create(self._path(f"{self.folder}/log/{number:012d}-{rid}.json"), False)
         out.write(json.dumps(asdict(revision)).encode())
         out.close()
@@ -209,7 +225,43 @@ class Store:
 
     def show(self, name: str) -> dict[str, DataFrame]:
         r = self.resolve(name)
-        return {n: self.spark.read.parquet(f"{self.folder}/states/{r.id}/{n}") for n in r.tables}
+        return {n: self.spark.read.parquet(f"{self.folder}/states/{r.places.get(n, r.id)}/{n}") for n in r.tables}
+
+    def tree_diff(self, before: str, after: str) -> dict[str, str]:
+        """What became of each table between two revisions, from the log alone."""
+        b, a = self.resolve(before).tokens, self.resolve(after).tokens
+        return {n: "removed" if n not in a else "added" if n not in b else "same" if a[n] == b[n] else "changed" for n in sorted({*a, *b})}
+
+    # ---- snapshots: names of revisions
+
+    def _snapshot(self, name: str):
+        if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", name):
+            raise ValueError(f"{name!r} can't name a snapshot")
+        return self._path(f"{self.folder}/snapshots/{name}.json")
+
+    def snapshot(self, name: str, state: State, message: str = "") -> Revision:
+        """Records a state under a name that isn't taken."""
+        at = self._snapshot(name)
+        if self._fs.exists(at):
+            raise ValueError(f"SNAPSHOT_EXISTS: {name}")
+        revision = self.commit(state, message or f"snapshot {name}")
+        out = self._fs.create(at, False)
+        out.write(json.dumps({"revision": revision.id}).encode())
+        out.close()
+        return revision
+
+    def snapshots(self) -> dict[str, Revision]:
+        at = self._path(f"{self.folder}/snapshots")
+        if not self._fs.exists(at):
+            return {}
+        by = {r.id: r for r in self.log()}
+        found = {s.getPath().getName().removesuffix(".json"): json.loads(self._read(s.getPath()))["revision"] for s in self._fs.listStatus(at) if s.getPath().getName().endswith(".json")}
+        return {n: by[r] for n, r in sorted(found.items())}
+
+    def drop_snapshot(self, name: str) -> None:
+        """The name goes; the revision stays in the log."""
+        if not self._fs.delete(self._snapshot(name), False):
+            raise KeyError(f"UNKNOWN_SNAPSHOT: {name}")
 
     def restore(self, name: str, contracts: dict, message: str = "restore") -> Revision:
         """A new revision with an earlier one's rows."""
@@ -217,25 +269,30 @@ class Store:
         return self.commit(state, message)
 
 
-def ancestors(parents: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """``(id, ancestor)`` of a revision graph ``(id, parent)``, by doubling."""
-    reach = cut(parents.select("id", F.col("parent").alias("ancestor")).distinct())
-    n = reach.count()
+def lineages(parents: DataFrame, starts: list[str], rounds: int = 100_000) -> DataFrame:
+    """``(id, origin)``: each start's ancestors, itself too, a generation a round.
+
+    Only the starts' own frontiers are walked, never the closure of the history.
+    """
+    spark = parents.sparkSession
+    edges = cut(parents.select("id", "parent").distinct())
+    reach = frontier = cut(spark.createDataFrame([(s, s) for s in starts], "id string, origin string"))
     for _ in range(rounds):
-        far = reach.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("far"))
-        reach = cut(reach.union(reach.join(far, "ancestor").select("id", F.col("far").alias("ancestor"))).distinct())
-        before, n = n, reach.count()
-        if n == before:
+        up = frontier.join(edges, "id").select(F.col("parent").alias("id"), "origin").distinct()
+        frontier = cut(up.join(reach, ["id", "origin"], "left_anti"))
+        if frontier.isEmpty():
             return reach
+        reach = cut(reach.unionAll(frontier))
     raise RuntimeError("the revision graph did not settle")
 
 
 def merge_bases(parents: DataFrame, a: str, b: str) -> DataFrame:
-    """Common ancestors that are ancestors of no other common one."""
-    reach = ancestors(parents)
-    own = parents.sparkSession.createDataFrame([(a, a), (b, b)], "id string, ancestor string")
-    all_ = cut(reach.unionAll(own).distinct())
-    common = all_.where(F.col("id") == a).select("ancestor").intersect(all_.where(F.col("id") == b).select("ancestor"))
-    up = reach.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("above"))
-    above = common.join(up, "ancestor").select(F.col("above").alias("ancestor"))
-    return common.join(above.distinct(), "ancestor", "left_anti").select(F.col("ancestor").alias("id"))
+    """Common ancestors that are ancestors of no other common one.
+
+    All ancestors of a common one are common, so it is enough to leave out parents.
+    """
+    reach = lineages(parents, [a, b] if a != b else [a])
+    n = 2 if a != b else 1
+    common = cut(reach.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == n).select("id"))
+    above = parents.join(common, "id", "left_semi").select(F.col("parent").alias("id")).distinct()
+    return common.join(above, "id", "left_anti")

@@ -172,6 +172,8 @@ def on_cycles(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
         before, n = n, left.count()
         if n == before or not n:
             break
+    else:
+        raise RuntimeError(f"the graph was not stripped in {rounds} rounds")
     step = _kept(left.groupBy("a").agg(F.min("b").alias("b")))
     jump = step.select("a", "b", F.least("a", "b").alias("low"))
     reach, size = 1, step.count()

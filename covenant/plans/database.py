@@ -21,6 +21,7 @@ class Database:
 
     def __init__(self, spark: SparkSession, state: State, store: states.Store | None = None, row_findings: dict[str, DataFrame] | None = None):
         self.spark, self.state, self.store = spark, dict(state), store
+        self._known: dict[str, tuple[Table, str]] = {}
         #: what the files broke when they were read, and the state that was
         self.row_findings, self.opened = row_findings or {}, dict(self.state)
         problems = cross_check({n: t.contract for n, t in self.state.items()})
@@ -99,8 +100,16 @@ class Database:
         window, more = sqlfront.page(self.query(sql), order, skip, take)
         return window, more, token
 
+    def _tokens(self) -> dict[str, str]:
+        """Tokens by table; a table that didn't change since is not read again."""
+        self._known = {n: k for n, k in self._known.items() if self.state.get(n) is k[0]}
+        for n, t in self.state.items():
+            if n not in self._known:
+                self._known[n] = (t, changes.table_token(t))
+        return {n: k[1] for n, k in self._known.items()}
+
     def token(self) -> str:
-        return changes.state_token(self.state)
+        return changes.token_of(self._tokens())
 
     # ---- judging ------------------------------------------------------------
 
@@ -268,7 +277,13 @@ class Database:
     def commit(self, message: str = "", key: str | None = None, expect: str | None = None) -> states.Revision:
         if self.store is None:
             raise RuntimeError("the database was opened without a store")
-        return self.store.commit(self.state, message, key=key, expect=expect)
+        return self.store.commit(self.state, message, key=key, expect=expect, tokens=self._tokens())
+
+    def snapshot(self, name: str, message: str = "") -> states.Revision:
+        """Records the state under a name."""
+        if self.store is None:
+            raise RuntimeError("the database was opened without a store")
+        return self.store.snapshot(name, self.state, message)
 
     def log(self) -> list[states.Revision]:
         return self.store.log() if self.store else []

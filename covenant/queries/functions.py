@@ -206,7 +206,10 @@ def sql_front_end(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT count(*) AS n, 'object' AS kind, 'int' AS k_kind FROM events")
+@query(
+    """SELECT count(*) AS n, CASE WHEN bool_and(json_type(props) = 'OBJECT') THEN 'object' ELSE 'json' END AS kind,
+            CASE WHEN bool_and(json_type(props, '$.k') IN ('UBIGINT', 'BIGINT')) THEN 'int' ELSE 'number' END AS k_kind FROM events"""
+)
 def infer_shape(spark: SparkSession, d: str) -> DataFrame:
     """The shape of the events' properties, folded in the partitions."""
     s = shape.of_column(table(spark, d, "events"), "props")

@@ -44,8 +44,16 @@ def lint_column_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT * FROM (VALUES ('customer', 'c_nationkey', 'LINT_FK_CANDIDATE', 'nation'),
-        ('nation', 'n_regionkey', 'LINT_FK_CANDIDATE', 'region')) AS v("table", "column", code, detail)"""
+    """WITH columns AS (
+            SELECT 'nation' AS "table", 'n_regionkey' AS "column", n_regionkey + 1000000 AS v FROM nation
+            UNION ALL SELECT 'customer', 'c_nationkey', c_nationkey FROM customer
+        ), keys AS (
+            SELECT 'region' AS target, r_regionkey + 1000000 AS k FROM region UNION ALL SELECT 'nation', n_nationkey FROM nation
+            UNION ALL SELECT 'customer', c_custkey + 2000000 FROM customer
+        ), counted AS (SELECT "table", "column", count(DISTINCT v) AS n FROM columns GROUP BY ALL)
+        SELECT c."table", c."column", 'LINT_FK_CANDIDATE' AS code, k.target AS detail
+        FROM columns c JOIN keys k ON c.v = k.k AND c."table" <> k.target JOIN counted t ON t."table" = c."table" AND t."column" = c."column"
+        GROUP BY c."table", c."column", k.target, t.n HAVING count(DISTINCT c.v) = t.n"""
 )
 def ref_discovery(spark: SparkSession, d: str) -> DataFrame:
     """nation names region, customer names nation; region's keys are shifted apart from nation's."""

@@ -99,7 +99,10 @@ def merge3_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT CAST(k AS VARCHAR) AS id FROM (SELECT 6 AS k)"""
+    """WITH RECURSIVE p AS (SELECT p_partkey AS id, p_partkey // 2 AS parent FROM part WHERE p_partkey > 1),
+        up(node, origin) AS (SELECT 25, 25 UNION SELECT 27, 27 UNION SELECT p.parent, up.origin FROM up JOIN p ON p.id = up.node),
+        common AS (SELECT node FROM up GROUP BY node HAVING count(DISTINCT origin) = 2)
+        SELECT CAST(node AS VARCHAR) AS id FROM common WHERE node NOT IN (SELECT p.parent FROM p JOIN common ON p.id = common.node)"""
 )
 def dag_merge_base(spark: SparkSession, d: str) -> DataFrame:
     """A heap-shaped history: the base of nodes 25 and 27 is 6."""

@@ -236,6 +236,14 @@ def test_history(db):
     two = db.commit("second")
     assert [r.message for r in db.log()] == ["second", "first"] and two.parents == (one.id,)
     assert sorted(values(db.diff("#1", "#2").select("path", "kind"))) == [("blooms/heather.json", "removed"), ("hives/h2.json", "changed"), ("keepers/ines.json", "changed")]
+    assert db.store.tree_diff("#1", "#2") == {"blooms": "changed", "harvests": "same", "hives": "changed", "keepers": "changed"}
+    assert two.places["harvests"] == one.id and two.places["hives"] == two.id  # what didn't change isn't written again
+    three = db.snapshot("before-frost")
+    assert set(three.places.values()) == {one.id, two.id} and list(db.store.snapshots()) == ["before-frost"]
+    with pytest.raises(ValueError, match="SNAPSHOT_EXISTS"):
+        db.snapshot("before-frost")
+    db.store.drop_snapshot("before-frost")
+    assert db.store.snapshots() == {} and db.log()[0].id == three.id
     db.restore(one.id[:6])
     assert db.get("keepers", "ines").called == "Ines" and db.token() == one.token
 
