@@ -195,10 +195,36 @@ def test_broken_archives():
     assert not warc.parsed(fields, block)[6]
     lies = warc.member(b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort\r\n\r\n")
     for bad in (good[:-9], lies, warc.member(b"no header"), warc.member(b"HTTP/1.1 200\r\nContent-Length: 0\r\n\r\n\r\n\r\n")):
-        with pytest.raises((warc.Malformed, KeyError)):
+        with pytest.raises(warc.Malformed):
             list(warc.records(bad))
 
 
+def test_broken_archives_are_findings(spark, tmp_path):
+    good = [warc.member(warc.record(i, "u", b"payload", warc.digest(b"payload"), None)) for i in (1, 2, 3)]
+    odd = [warc.member(b"WARC/1.1\r\nContent-Length: many\r\n\r\nx\r\n\r\n"), warc.member(b"no header"), warc.member(b"WARC/1.1\r\nWARC-Type: x\r\n\r\n\r\n\r\n")]
+    content = {"a": good[0] + odd[0] + good[1] + odd[1] + odd[2] + good[2], "b": good[0] + good[1][:-9], "c": b"not gzip at all", "d": b""}
+    rows = []
+    for n, c in content.items():
+        (tmp_path / n).write_bytes(c)
+        rows.append((str(tmp_path / n), bytearray(c)))
+    cells = spark.createDataFrame(rows, "path string, content binary")
+    for files in (cells, cells.select("path")):
+        got = warc.read(files).collect()
+        seen = {n: sorted((r.offset, r.page_id, r.record_type, r.verified, r.error is None) for r in got if r.path.endswith("/" + n)) for n in content}
+        assert [x[1:] for x in seen["a"]] == [(1, "response", True, True), (None, "malformed", False, False), (2, "response", True, True), *[(None, "malformed", False, False)] * 2, (3, "response", True, True)]
+        assert [x[1] for x in seen["b"]] == [1, None] and len(seen["c"]) == 1 and seen["d"] == []
+    assert warc.local_path("file:///x/y") == warc.local_path("/x/y") == "/x/y" and warc.local_path("viewfs://a/b") is None
+
+
+def test_archives_are_files(spark, pages, tmp_path):
+    got = warc.archived(pages, str(tmp_path / "w")).collect()
+    names = list((tmp_path / "w" / "files").glob("*.warc.gz"))
+    assert names and {r.path for r in got} <= {str(n) for n in names} and len(got) == pages.count()
+    import gzip
+
+    assert sum(gzip.decompress(n.read_bytes()).count(b"WARC-Type: ") for n in names) == pages.count()
+
+
 def test_revisits_are_held_to_their_responses(spark):
     a, b = b"payload", b"another"
     found = [
