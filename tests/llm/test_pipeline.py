@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import zlib
@@ -38,6 +39,106 @@ def test_query_keeps_all_rows(spark, small, name):
     assert n > 0
 
 
+@pytest.fixture(scope="module")
+def texts(spark, small):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+
+
+def collected(spark, small, number):
+    (name,) = [n for n in QUERIES if n.startswith(f"op{number}_")]
+    return QUERIES[name](spark, small).collect()
+
+
+def library():
+    from tokenizers import Tokenizer
+
+    from covenant.llm import bpe
+
+    return Tokenizer.from_file(bpe.default_path())
+
+
+def test_toxicity_query(spark, small, texts):
+    """Each score is what the model, trained again, says of the text alone."""
+    from covenant.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    score = toxicity.fit(docs, labels).scorer()
+    for r in collected(spark, small, 1):
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7)
+        assert abs(r.score - score(texts[r.doc_id])) < 1e-9 and 0 <= r.score <= 1
+
+
+def test_media_query(spark, small, texts):
+    rows = collected(spark, small, 3)
+    assert {r.doc_id for r in rows} == set(texts) and len(rows) == len(texts)
+    for r in rows:
+        raw = texts[r.doc_id].encode()
+        p = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+
+
+def test_near_duplicate_query(spark, small, texts):
+    ids = sorted(texts)
+    prints = {i: simhash.fingerprint_of(texts[i]) for i in ids}
+    component = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for a in ids:
+            low = min(component[b] for b in ids if (prints[a] ^ prints[b]).bit_count() <= 2)
+            changed, component[a] = changed or low < component[a], min(low, component[a])
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in collected(spark, small, 6)}
+    assert got == {i: (format(prints[i], "016x"), component[i]) for i in ids}
+
+
+def test_packing_query(spark, small, texts):
+    tok = library()
+    pieces, places = {}, {}
+    for r in collected(spark, small, 8):
+        pieces.setdefault(r.doc_id, {})[r.piece] = (r.start, r.length, r.ids_crc32)
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert set(pieces) == set(texts)
+    total = 0
+    for i, found in pieces.items():
+        ids = np.asarray([*tok.encode(texts[i], add_special_tokens=False).ids, 2], dtype="<u4")
+        total += len(ids)
+        at = 0
+        for k in range(len(found)):
+            start, n, crc = found[k]
+            assert start == at and crc == zlib.crc32(ids[start : start + n].tobytes()) and (n == 1024 or len(found) == 1 or k == 0)
+            at += n
+        assert at == len(ids)
+    for held in places.values():
+        at = 0
+        for offset, n in sorted(held):
+            assert offset == at
+            at += n
+        assert at <= 1024
+    assert len(places) <= 1.02 * total / 1024 + 2
+
+
+def test_language_query(spark, small, texts):
+    rows = collected(spark, small, 9)
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    held = [r for r in rows if r.held_out and truth[r.doc_id] and re.search(r"[^\W\d_]{3}", texts[r.doc_id])]
+    assert {r.doc_id for r in rows} == set(texts) and sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.9 * len(held) > 0
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert (r.lang_pred == "und") == (not re.search(r"[^\W\d_]", texts[r.doc_id]))
+
+
+def test_token_count_query(spark, small, texts):
+    tok = library()
+    count = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    rows = collected(spark, small, 10)
+    assert {r.doc_id for r in rows} == set(texts)
+    for r in rows:
+        t = texts[r.doc_id]
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), count(t), count(t) > 1024)
+        assert r.fit_tokens == count(t[: r.fit_chars]) <= 1024
+        assert r.fit_chars == len(t) or all(count(t[: r.fit_chars + k]) > 1024 for k in range(1, min(30, len(t) - r.fit_chars) + 1))
+
+
 def test_segmentations_are_written(spark, small):
     df = QUERIES["op4_gumbel_segmentations"](spark, small)
     for r in df.limit(50).collect():
