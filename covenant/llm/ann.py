@@ -42,7 +42,7 @@ SAMPLE = 8192
 THRESHOLD = 0.2
 ROUNDS, SWEEPS = 6, 2
 #: Rows and queries of a cell, and rows a query scores exactly in each at first.
-BLOCK, QUERY_BLOCK, SHORTLIST = 8192, 4096, 192
+BLOCK, QUERY_BLOCK, SHORTLIST = 8192, 32_768, 192
 #: The query set: ids divisible by this; neighbours of each.
 EVERY, NEAREST = 20, 20
 
