@@ -13,7 +13,7 @@ gaps, of a few numbers a row:
   that its gaps can't serve, then gaps. Their numbers, two a partition, go to the
   driver, which matches the partitions' left-overs as runs; the rows meet by an
   equi-join on their place in a run.
-* Matched gaps shrink, and the next round begins. When no gap can serve any more, new
+* Matched gaps shrink, and the next round begins. When hardly any gap can serve, new
   sequences are opened, as many as the waiting tokens fill, and the longest pieces are
   dealt out to them by rank, back and forth, a few fewer a sequence than surely fit.
 
@@ -43,6 +43,8 @@ from .common import cut, text_chunks, unused
 
 CAPACITY = 1024
 END_ID = 2
+#: Matches of a round, as a share of the pieces still waiting, at which new sequences are opened.
+RARE = 0.02
 
 
 def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -277,9 +279,10 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, length_column: str = "
         gaps = rows.where((F.col("what") == GAP) & (F.col("pair") < 0)).select("id", "size")
         gaps = gaps.union(pairs.select("seq", (F.col("free") - F.col("size")).cast("int"))).where(F.col("size") >= least)
         waiting = ranked
-        n_pairs = sum(x[0] for x in seen.values())
-        if not runs and (not n_pairs or max(x[6] for x in seen.values()) < least):  # no gap serves any more
-            tokens = sum(x[3] for x in holds)
+        n_pairs = sum(x[0] for x in seen.values()) + sum(r[-1] for r in runs)
+        # (nearly) no gap serves any more: as good as all that are left are too small
+        if n_pairs <= RARE * left or max(x[6] for x in seen.values()) < least:
+            tokens = ranked.agg(F.sum("size")).first()[0] if runs else sum(x[3] for x in holds)
             sequences, each = -(-tokens // capacity), max(1, capacity // longest - 2)
             new = dealt(ranked, sequences, each, opened)
             opened += sequences
