@@ -208,34 +208,47 @@ def folded_names(table: Table, strict: bool = False) -> DataFrame:
     return finding(again, "PORTABILITY_COLLISION", table.name, F.concat(F.lit("the name equals that of "), F.col("first"), F.lit(" but for case or form")), F.col("first"), severity="error" if strict else "warning")
 
 
-def judge(spark: SparkSession, state: State, row_findings: dict[str, DataFrame] | None = None, only: set[str] | None = None) -> DataFrame:
+def judge(
+    spark: SparkSession, state: State, row_findings: dict[str, DataFrame] | None = None, only: set[str] | None = None, columns: dict[str, set[str]] | None = None
+) -> DataFrame:
     """The verdict on a state: all findings of all rules.
 
-    ``only`` names the tables that a change touched: rules that look at none of them
-    are left out, as their findings can't have changed.
+    ``only`` names the tables that a change touched, and ``columns`` the columns it
+    assigned in tables whose rows it neither added nor took away: rules that look at
+    none of them are left out, as their findings can't have changed.
     """
     parts = list((row_findings or {}).values())
-    hit = lambda *names: only is None or not only.isdisjoint(names)
+
+    def hit(name: str, *names: str) -> bool:
+        """Whether a change can matter to what looks at these columns of a table."""
+        return only is None or name in only and (columns is None or name not in columns or not columns[name].isdisjoint(names))
+
+    def targeted(names: list[str], fk: ForeignKey) -> bool:
+        return any(hit(n, *(fk.columns or state[n].contract.key)) for n in names if n in state)
+
     domains: dict[str, list[Table]] = {}
     for t in state.values():
         c = t.contract
         if c.domain:
             domains.setdefault(c.domain, []).append(t)
-        if hit(t.name):
+        if hit(t.name, *c.key):
             parts.append(duplicates(t, c.key, "PRIMARY_KEY_VIOLATION"))
-            parts += [duplicates(t, u, "UNIQUE_VIOLATION") for u in c.unique]
-            parts += [cycles(t, a.name, a.edges) for a in c.acyclic]
-            parts += [broken_checks(t, r) for r in c.checks]
+        parts += [duplicates(t, u, "UNIQUE_VIOLATION") for u in c.unique if hit(t.name, *u)]
+        parts += [cycles(t, a.name, a.edges) for a in c.acyclic if hit(t.name, *c.key, *(paths.parse(e)[0].name for e in a.edges))]
+        parts += [broken_checks(t, r) for r in c.checks if hit(t.name, *re.findall(r"\w+", r.text))]
         for fk in c.foreign_keys:
-            if _targets_known(state, fk) and hit(t.name, *targets_of(state, fk)):
+            if not _targets_known(state, fk):
+                continue
+            if hit(t.name, *(p[0].name for p in fk.paths)) or targeted(targets_of(state, fk), fk):
                 parts.append(dangling(state, t, fk))
-            if len(fk.tables) > 1 and _targets_known(state, fk) and hit(*fk.tables):
+            if len(fk.tables) > 1 and targeted(list(fk.tables), fk):
                 parts.append(domain_clashes(spark, ", ".join(sorted(fk.tables)), [state[n] for n in sorted(fk.tables)], "SCHEMA_TARGET_KEYS_OVERLAP"))
         for r in c.assertions:
             words = set(re.findall(r"\w+", r.text))
-            if hit(t.name, *(n for n in state if n in words)):
+            seen = [n for n in {t.name, *state} if n in words or n == t.name]
+            if any(hit(n, *(state[n].rows.columns if "*" in r.text else words)) for n in seen):
                 parts.append(broken_assertions(spark, state, t, r))
-    parts += [domain_clashes(spark, d, members) for d, members in domains.items() if hit(*(m.name for m in members))]
+    parts += [domain_clashes(spark, d, members) for d, members in domains.items() if any(hit(m.name, *m.contract.key) for m in members)]
     return union(spark, parts)
 
 

@@ -155,11 +155,12 @@ class Database:
 
     # ---- changing -----------------------------------------------------------
 
-    def _admit(self, new: State, dry_run: bool = False, written: dict[str, DataFrame] | None = None) -> State:
+    def _admit(self, new: State, dry_run: bool = False, written: dict[str, DataFrame] | None = None, columns: dict[str, set[str]] | None = None) -> State:
         """Findings that a change introduces refuse it; those that were there before don't.
 
         ``written`` has the changed rows of tables where they are known; of others they
-        are found by key. The state before is judged only if the new one has errors.
+        are found by key. ``columns`` has the assigned columns of tables whose rows
+        stayed, for rules that look at others needn't be asked again. The state before is judged only if the new one has errors.
         """
         touched = {n for n in {*new, *self.state} if new.get(n) is not self.state.get(n)}
         moved = {}
@@ -171,11 +172,11 @@ class Database:
         rows = {n: rowtext.findings(new[n], rowtext.image(new[n], d, "after")) for n, d in moved.items()}
         same = ["code", "path", "pointer", "constraint", "observed"]
         keyed = lambda d: d.where("severity = 'error'").select(*(F.coalesce(c, F.lit("")).alias(c) for c in same), "message")
-        after = keyed(validate.judge(self.spark, new, rows, only=touched))
+        after = keyed(validate.judge(self.spark, new, rows, only=touched, columns=columns))
         if not after.isEmpty():
             known = {n: d for n, d in moved.items() if n in self.state and self.state[n].rows.columns == new[n].rows.columns}
             held = {n: rowtext.findings(self.state[n], rowtext.image(self.state[n], d, "before")) for n, d in known.items()}
-            before = keyed(validate.judge(self.spark, self.state, held, only=touched))
+            before = keyed(validate.judge(self.spark, self.state, held, only=touched, columns=columns))
             worse = after.join(before.drop("message"), same, "left_anti").orderBy("path", "code").first()
             if worse is not None:
                 raise ChangeRefused(worse["code"], f"{worse['path']}{worse['pointer']}: {worse['message']}")
@@ -190,6 +191,7 @@ class Database:
         parts, commit = sqlfront.script(sql)
         state, out = dict(self.state), []
         written: dict[str, DataFrame | None] = {}
+        columns: dict[str, set[str] | None] = {}
         for s in parts:
             if sqlfront.classify(s) == "select":
                 out.append(statements.select(self.spark, state, s))
@@ -199,17 +201,19 @@ class Database:
                 if done.state[n] is not state.get(n):  # known rows only where one statement alone wrote
                     own = n == done.table and done.state[n] is done.change.after
                     written[n] = done.change.rows if own and n not in written else None
+                    known = columns.get(n, set()) if own and done.assigned is not None else None
+                    columns[n] = known | done.assigned if known is not None else None
             state = done.state
             out.append(done.returning)
         if commit:
-            self._admit(state, dry_run, written)
+            self._admit(state, dry_run, written, {n: c for n, c in columns.items() if c is not None})
         return out
 
     @contextlib.contextmanager
     def transaction(self) -> Iterator[Database]:
         """Changes inside are kept together if the state they make is valid."""
         inside = Database(self.spark, self.state, None, {})
-        inside._admit = lambda new, dry_run=False, written=None: inside.state.update(new) or [inside.state.pop(n) for n in set(inside.state) - set(new)] or new  # noqa: SLF001
+        inside._admit = lambda new, dry_run=False, written=None, columns=None: inside.state.update(new) or [inside.state.pop(n) for n in set(inside.state) - set(new)] or new  # noqa: SLF001
         yield inside
         self._admit(inside.state)
 

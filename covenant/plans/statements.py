@@ -170,6 +170,8 @@ class Outcome:
     induced: DataFrame
     returning: DataFrame | None
     table: str = ""
+    #: the columns that an UPDATE assigned; null for a change of whole rows
+    assigned: frozenset[str] | None = None
 
 
 def _condition(spark: SparkSession, state: State, t: Table, p: Parsed) -> tuple[Table, Column]:
@@ -221,7 +223,7 @@ def run(spark: SparkSession, state: State, sql: str) -> Outcome:
     if p.returning:
         shown = names if p.returning.strip() == "*" else [x.strip() for x in p.returning.split(",")]
         out = change.returning(*(scalar(spark, t, x) if x not in names else F.col(f"`{x}`") for x in shown))
-    return Outcome(e.state, change, e.induced, out, p.table)
+    return Outcome(e.state, change, e.induced, out, p.table, frozenset(n for n, _ in p.assign) if p.op == "update" else None)
 
 
 def _vacates(state: State, t: Table, p: Parsed) -> bool:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.validate import Table
 from ..plans import statements
 from ..plans.contract import Column, Contract, ForeignKey
+from ..plans.database import Database
 from . import query, table
 
 
@@ -41,11 +42,11 @@ def base_select_by_key(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT c_custkey, CAST(c_nationkey + 1 AS BIGINT) AS c_nationkey FROM customer WHERE c_custkey = 5")
 def base_update_one(spark: SparkSession, d: str) -> DataFrame:
     sql = "UPDATE customer SET c_nationkey = c_nationkey + 1 WHERE c_custkey = 5 RETURNING c_custkey, c_nationkey"
-    return statements.run(spark, _state(spark, d), sql).returning
+    return Database(spark, _state(spark, d)).execute(sql)[0]
 
 
 @query("SELECT o_orderkey, 'X' AS o_orderstatus FROM orders WHERE o_orderpriority = '1-URGENT'")
 def base_update_many(spark: SparkSession, d: str) -> DataFrame:
     """Tens of thousands of rows at scale factor 0.1."""
     sql = "UPDATE orders SET o_orderstatus = 'X' WHERE o_orderpriority = '1-URGENT' RETURNING o_orderkey, o_orderstatus"
-    return statements.run(spark, _state(spark, d), sql).returning
+    return Database(spark, _state(spark, d)).execute(sql)[0]
