@@ -122,7 +122,7 @@ STATEMENTS: dict[str, tuple[str, str, list | dict | None]] = {
     "sql_glob": ("SELECT id FROM buyers WHERE label GLOB 'Customer#*[13]' AND segment GLOB '[A-F]*'", "SELECT id FROM buyers WHERE label GLOB 'Customer#*[13]' AND segment GLOB '[A-F]*'", None),
     "sql_division": (
         "SELECT id, id / 7 AS q, id % 7 AS r, -id / 4 AS n, id / (id % 3) AS z, id / 2.0 AS f FROM sales",
-        "SELECT id, id // 7 AS q, id % 7 AS r, -(id // 4) AS n, CASE WHEN id % 3 <> 0 THEN id // (id % 3) END AS z, id / 2.0 AS f FROM sales", None,
+        "SELECT id, id // 7 AS q, id % 7 AS r, -(id // 4) AS n, CASE WHEN id % 3 <> 0 THEN id // (id % 3) END AS z, CAST(id / 2.0 AS DOUBLE) AS f FROM sales", None,
     ),
     "sql_substr": (
         "SELECT id, substr(label, 0, 3) AS a, substr(label, -4) AS b, substr(label, 3, -2) AS c, instr(label, '#') AS d, length(label) AS e FROM buyers",
@@ -193,7 +193,7 @@ STATEMENTS: dict[str, tuple[str, str, list | dict | None]] = {
     "sql_offset": ("SELECT id FROM sales ORDER BY price DESC, id LIMIT 50 OFFSET 25", "SELECT id FROM sales ORDER BY price DESC, id LIMIT 50 OFFSET 25", None),
     "sql_math": (
         "SELECT id, abs(-id) AS a, round(id / 3.0, 1) AS r, sign(id - 50) AS s, floor(id / 2.0) AS f, sqrt(-1.0) AS q, round(log(100.0), 6) AS l, round(log(2, 8), 6) AS b, trunc(-2.7) AS t, mod(id, 5) AS m FROM buyers",
-        """SELECT id, id AS a, round(id / 3.0, 1) AS r, CAST(sign(id - 50) AS INTEGER) AS s, floor(id / 2.0) AS f, CAST(NULL AS DOUBLE) AS q, 2.0 AS l, 3.0 AS b, -2.0 AS t,
+        """SELECT id, id AS a, CAST(round(id / 3.0, 1) AS DOUBLE) AS r, CAST(sign(id - 50) AS INTEGER) AS s, CAST(floor(id / 2.0) AS DOUBLE) AS f, CAST(NULL AS DOUBLE) AS q, CAST(2 AS DOUBLE) AS l, CAST(3 AS DOUBLE) AS b, CAST(-2 AS DOUBLE) AS t,
             CAST(id % 5 AS DOUBLE) AS m FROM buyers""", None,
     ),
 }
