@@ -379,6 +379,29 @@ def test_long_and_repeated_rows_leave_the_rest_of_the_sample(spark, monkeypatch)
         assert toxicity.fit(docs, table).known
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Past the sample's bounds too; what one row alone tells is told, in one shard or several."""
+    monkeypatch.setattr(toxicity, "SAMPLE", {0: 10, 1: 10})
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2_000)
+    random.seed(8)
+    rows, labels = [], []
+    for i in range(300):
+        words = random.choices("a quiet word of plain text about nothing much at all today".split(), k=12)
+        rows.append((i, " ".join([*words, "grumblex"] if i % 4 == 0 else words), "en"))
+        labels.append((i, 1, int(i % 4 == 0)))
+    learnt = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i, _, _ in rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    known, passed, whole = toxicity.known_labels(table), [], toxicity.calibrated
+    monkeypatch.setattr(toxicity, "calibrated", lambda state, bins: passed.append(sum(t + c for _, t, c in bins[None])) or whole(state, bins))
+    assert toxicity.learning_table(docs, known, 4).count() == learnt
+    for most in (10_000, 60):
+        monkeypatch.setattr(toxicity, "SHARD_ROWS", most)
+        score = toxicity.fit(docs, table).scorer()
+        assert passed.pop() == learnt
+        assert score("a quiet word of grumblex text") >= 0.7 > score("a quiet word of plain text")
+
+
 def test_classes_share_the_bytes():
     sizes = [(i, "a", i, 10) for i in range(50)] + [(100 + i, "b", i, 10) for i in range(3)] + [(200, "c", 0, 1000), (201, "c", 1, 5)]
     kept = sampling.within(sizes, 105)
