@@ -45,6 +45,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffles, checkpoints and broadcasts that nothing refers to any more.
+
+    It acts once the driver's JVM has collected garbage, which a large heap puts off.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sampling
-from .common import cut, fold, text_chunks
+from .common import cut, fold, text_chunks, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of ``learning_rows``: labelled rows of each class, and bytes of text.
@@ -535,11 +535,16 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model:
         return unknown(seed)
     shards = min(MOST_SHARDS, -(-sum(counts.values()) // SHARD_ROWS))
     rows, sc = learning_table(docs, known, shards), docs.sparkSession.sparkContext
+    tidy(docs.sparkSession)
     state = State(seed)
     for epoch in range(EPOCHS):
         shared = sc.broadcast(state)
-        state = state.after([tuple(r) for r in one_round(rows, shared, counts, epoch, shards).collect()])
-        shared.unpersist()
+        found = one_round(rows, shared, counts, epoch, shards).toArrow()
+        # the driver's copies go too, in memory and on disk
+        shared.destroy()
+        state = state.after([(b.as_py(), *(x.as_buffer() for x in more)) for b, *more in zip(*found.columns)])
+        del found
+        tidy(docs.sparkSession)
     shared = sc.broadcast(state)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -551,6 +556,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model:
     found = rows.mapInArrow(run, "lang string, bin int, label int")
     sums = [F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")]
     found = cut(found.groupBy("lang", "bin").agg(*sums))
+    shared.destroy()
     both = [F.sum(c).alias(c) for c in ("toxic", "clean")]
     enough = found.groupBy("lang").agg(*both).where(f"toxic >= {FEW} AND clean >= {FEW}")
     bins: dict = {None: [tuple(r) for r in found.groupBy("bin").agg(*both).collect()]}

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -402,6 +403,15 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
         assert score("a quiet word of grumblex text") >= 0.7 > score("a quiet word of plain text")
 
 
+def test_toxicity_leaves_nothing_of_a_round_on_the_driver(spark):
+    """Each round's broadcast state goes with the round, in the driver's folder too."""
+    docs = spark.createDataFrame([(i, f"quiet words {'grumblex' * (i % 2)}", "en") for i in range(60)], "doc_id long, text string, lang string")
+    table = docs.selectExpr("doc_id", "1 AS quality", "int(doc_id % 2) AS toxic")
+    held = lambda: {p for p in Path(spark.sparkContext._temp_dir).rglob("*") if p.is_file()}
+    before = held()
+    assert toxicity.fit(docs, table).known and held() <= before
+
+
 def test_classes_share_the_bytes():
     sizes = [(i, "a", i, 10) for i in range(50)] + [(100 + i, "b", i, 10) for i in range(3)] + [(200, "c", 0, 1000), (201, "c", 1, 5)]
     kept = sampling.within(sizes, 105)
