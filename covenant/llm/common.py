@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -48,8 +49,10 @@ def cut(df: DataFrame) -> DataFrame:
 def tidy(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffles, checkpoints and broadcasts that nothing refers to any more.
 
-    It acts once the driver's JVM has collected garbage, which a large heap puts off.
+    It acts once the driver's JVM has collected garbage, which a large heap puts off. Frames
+    that Python holds in cycles go first; what the JVM hears of late goes the next time.
     """
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -77,7 +77,14 @@ SLOT_WORD = np.asarray([j for j in range(max(WIDTHS)) for w in WIDTHS if j < w f
 CACHE, STEP = 120_000, 1 << 15
 
 
+#: What a beginning's checksum starts from, its mark.
+MARK = zlib.crc32(b"^")
+
+
 def word_buckets(word: str) -> list[int]:
+    if word.isascii():
+        raw = word.encode()
+        return [zlib.crc32(raw) % BUCKETS, *(zlib.crc32(raw[:n], MARK) % BUCKETS for n in PREFIXES)]
     raw = [word, *("^" + word[:n] for n in PREFIXES)]
     return [zlib.crc32(x.encode("utf-8", "replace")) % BUCKETS for x in raw]
 
@@ -117,8 +124,8 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        flat = [f[j] for f in model.filters for j in range(len(f))]
-        self.table = (model.embedding @ np.concatenate(flat, axis=1)).astype(np.float32)
+        flat = [model.filters[f // FILTERS][j, :, f % FILTERS] for f, j in zip(SLOT_FILTER, SLOT_WORD)]
+        self.table = (model.embedding @ np.stack(flat, axis=1)).astype(np.float32)
         self.rows = np.zeros((1 << 12, self.table.shape[1]), dtype=np.float32)
         self.at = {"": 0}  # row 0 pads
 
@@ -128,10 +135,12 @@ class Scorer:
         start = len(self.at)
         while start + len(words) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        buckets = np.asarray([word_buckets(w) for w in words])
-        self.rows[start : start + len(words)] = self.table[buckets].mean(axis=1)
-        for i, w in enumerate(words):
-            self.at[w] = start + i
+        buckets = np.asarray([word_buckets(w) for w in words], dtype=np.intp).T
+        total = self.table.take(buckets[0], axis=0)
+        for b in buckets[1:]:
+            total += self.table.take(b, axis=0)
+        self.rows[start : start + len(words)] = total / np.float32(len(buckets))
+        self.at.update(zip(words, range(start, start + len(words))))
 
     def pooled(self, words: list[str]) -> np.ndarray:
         """The greatest response of every filter over the words."""
@@ -145,15 +154,15 @@ class Scorer:
                     new = list(dict.fromkeys(part))
                 self._learn(new)
                 found = list(map(self.at.get, part))
-            n, at, out = len(found) or 1, 0, []
-            got = self.rows[np.asarray(found + [0] * (n + pad - len(found)))]
-            for width in WIDTHS:
-                total = got[:n, at : at + FILTERS]
-                for j in range(1, width):
-                    total = total + got[j : n + j, at + j * FILTERS : at + (j + 1) * FILTERS]
-                out.append(total.max(axis=0))
-                at += width * FILTERS
-            now = np.concatenate(out)
+            n, at = len(found) or 1, FILTERS * len(WIDTHS)
+            got = self.rows.take(np.asarray(found + [0] * (n + pad - len(found)), dtype=np.intp), axis=0)
+            got = np.ascontiguousarray(got.T)  # a row a slot: sums and maxima run along the words
+            total = got[:at, :n]
+            for j in range(1, max(WIDTHS)):
+                more = int((SLOT_WORD == j).sum())
+                total[-more:] += got[at : at + more, j : n + j]
+                at += more
+            now = total.max(axis=1)
             best = now if best is None else np.maximum(best, now)
         return best
 
@@ -487,38 +496,44 @@ def learning_table(docs: DataFrame, known: DataFrame, shards: int) -> DataFrame:
     """``(order, lang, label, words)`` of every labelled document of the learning fold, a partition a shard.
 
     Of an id's rows one is taken, that of the shortest text that is not null (ties: the
-    least). A shard's rows are in the order of a hash of their ids.
+    least as compressed). A shard's rows are in the order of a hash of their ids. Texts move
+    once, compressed and straight to their shard, where they meet their labels; a shard is
+    the partition of its number, in however many partitions a session shuffles.
     """
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("None")) if "lang" in docs.columns else F.lit("None")
-    row = F.struct(F.col("text").isNull().alias("_null"), F.octet_length("text").alias("_n"), "text", lang.alias("lang"))
-    order = F.xxhash64(F.lit("toxicity"), F.col("doc_id").cast("string"))
-    one = (
-        docs.where(fold("doc_id", FOLDS) != HELD_OUT)
-        .select("doc_id", row.alias("_row"))
-        .join(known, "doc_id")
-        .groupBy("doc_id")
-        .agg(F.min("_row").alias("_row"), F.max("_toxic").cast("int").alias("label"))
-        .select(order.alias("order"), "_row.text", "_row.lang", "label")
-    )
+    key = F.col("doc_id").cast("string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, bytes] = {}
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches):
-            words = []
-            for text in b.column(1).to_pylist():
-                mine = words_of(text)
-                for w in mine:
-                    if w not in seen:
-                        seen[w] = np.asarray(word_buckets(w), dtype=np.uint16).tobytes()
-                words.append(zlib.compress(b"".join([seen[w] for w in mine]), 1))
-                if len(seen) > CACHE:
-                    seen = {}
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), b.column(3), pa.array(words, pa.binary())], names=["order", "lang", "label", "words"]
-            )
+            packed = pa.array([zlib.compress((t or "").encode(), 1) for t in b.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], packed], names=["id", "lang", "none", "n", "packed"])
+
+    texts = docs.where(fold("doc_id", FOLDS) != HELD_OUT).select(key, "text", lang, F.col("text").isNull(), F.octet_length("text"))
+    texts = texts.mapInArrow(pack, "id string, lang string, none boolean, n int, packed binary")
+    row = F.struct("none", "n", "packed", "lang").alias("row")
+    told = known.select(key.alias("id"), F.lit(None).alias("row"), F.col("_toxic").cast("int").alias("label"))
+    order = F.xxhash64(F.lit("toxicity"), F.col("id"))
+    both = texts.select("id", row, F.lit(None).cast("int").alias("label")).union(told)
+    both = both.select(F.pmod(order, F.lit(shards)).cast("int").alias("shard"), order.alias("order"), "id", "row", "label")
+    one = both.repartitionById(shards, "shard").groupBy("shard", "order", "id").agg(F.min("row").alias("row"), F.max("label").alias("label"))
+    one = one.where("row IS NOT NULL AND label IS NOT NULL").sortWithinPartitions("shard", "order", "id")
 
-    words = one.mapInArrow(run, "order long, lang string, label int, words binary")
-    return cut(words.repartition(shards, "order").sortWithinPartitions("order", "lang", "label"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, bytes] = {}
+        for batch in batches:
+            for b in (batch.slice(s, 256) for s in range(0, batch.num_rows, 256)):
+                words = []
+                for raw in b.column(3).to_pylist():
+                    mine = words_of(zlib.decompress(raw).decode())
+                    for w in mine:
+                        if w not in seen:
+                            seen[w] = np.asarray(word_buckets(w), dtype=np.uint16).tobytes()
+                    words.append(zlib.compress(b"".join([seen[w] for w in mine]), 1))
+                    if len(seen) > CACHE:
+                        seen = {}
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(words, pa.binary())], names=["order", "lang", "label", "words"])
+
+    return cut(one.select("order", "row.lang", "label", "row.packed").mapInArrow(run, "order long, lang string, label int, words binary"))
 
 
 def unpacked(b: pa.RecordBatch) -> tuple[list[np.ndarray], list[int]]:
@@ -548,8 +563,9 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model:
     shared = sc.broadcast(state)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = Trainer(shared.value, counts, TaskContext.get().partitionId())
+        one = None
         for b in batches:
+            one = one or Trainer(shared.value, counts, TaskContext.get().partitionId())
             bins = [bin_of(x) for x in one.logits(*unpacked(b))]
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(bins, pa.int32()), b.column("label")], names=["lang", "bin", "label"])
 

@@ -412,6 +412,22 @@ def test_toxicity_leaves_nothing_of_a_round_on_the_driver(spark):
     assert toxicity.fit(docs, table).known and held() <= before
 
 
+def test_toxicity_shards_are_as_many_as_asked_for(spark, monkeypatch):
+    """However many partitions shuffles by a key have; one row an id, of the shortest text, and only labelled ones."""
+    plain = type(docs := spark.range(0)).repartition
+    monkeypatch.setattr(type(docs), "repartition", lambda self, n, *cols: plain(self, max(n, 17) if cols else n, *cols))
+    texts = [(i, f"word {i}", "en") for i in range(90)] + [(i, t, "en") for i in range(0, 90, 3) for t in (None, f"word {i} and more", f"word {i}")]
+    docs = spark.createDataFrame([*texts, (None, "no id", "en")], "doc_id long, text string, lang string")
+    table = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(0, 200, 2)], "doc_id long, quality int, toxic int")
+    got = toxicity.learning_table(docs, toxicity.known_labels(table), 3)
+    assert got.rdd.getNumPartitions() == 3 and all(n for n in got.rdd.glom().map(len).collect())
+    found = []
+    for batch in got.toArrow().to_batches():
+        found += [(d.tolist(), y) for d, y in zip(*toxicity.unpacked(batch))]
+    want = [i for i in range(0, 90, 2) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(found) == sorted((toxicity.text_buckets(f"word {i}").tolist(), int(i % 5 == 0)) for i in want)
+
+
 def test_classes_share_the_bytes():
     sizes = [(i, "a", i, 10) for i in range(50)] + [(100 + i, "b", i, 10) for i in range(3)] + [(200, "c", 0, 1000), (201, "c", 1, 5)]
     kept = sampling.within(sizes, 105)
