@@ -18,7 +18,9 @@ gaps, of a few numbers a row:
   dealt out to them by rank, back and forth, a few fewer a sequence than surely fit.
 
 Rounds go by how many pieces a sequence takes, not by rows. No partition holds more
-than its share of a common length.
+than its share of a common length. When a round has no more than ``ONE_TASK`` rows, it
+and the later ones are done by one task, which sorts, sweeps and opens sequences alike:
+shuffles of so few rows would cost tasks by the number of partitions, not by rows.
 
 Defined results: a null text is packed as an empty one (only the end token);
 repeated rows are packed once for each row; documents of equal length go by id,
@@ -45,6 +47,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Matches of a round, as a share of the pieces still waiting, at which new sequences are opened.
 RARE = 0.02
+#: Rows of a round, waiting pieces and gaps, up to which one task does what is left.
+ONE_TASK = 1 << 17
 
 
 def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -240,6 +244,57 @@ def dealt(waiting: DataFrame, sequences: int, each: int, first: int) -> DataFram
     )
 
 
+def dealt_here(key: np.ndarray, size: np.ndarray, sequences: int, each: int, first: int) -> tuple[np.ndarray, ...]:
+    """As ``dealt``, of ranked pieces in arrays: ids, sequences, offsets, and the sequences' ids and tokens."""
+    n = min(len(size), sequences * each)
+    rank = np.arange(n)
+    turn, at = np.divmod(rank, sequences)
+    place = np.where(turn % 2 == 0, at, sequences - 1 - at)
+    grid = np.zeros((-(-n // sequences), sequences), dtype=np.int64)
+    grid[turn, place] = size[:n]
+    total = grid.cumsum(axis=0)
+    return key[:n], -1 - first - place, total[turn, place] - size[:n], -1 - first - np.arange(sequences), total[-1]
+
+
+def rounds_here(size: np.ndarray, what: np.ndarray, key: np.ndarray, capacity: int, opened: int) -> tuple[np.ndarray, ...]:
+    """``(id, seq, offset)`` of all waiting pieces: the rounds of ``best_fit`` over rows in arrays."""
+    out: list[tuple] = [(np.zeros(0, dtype=np.int64),) * 3]
+    while True:
+        order = np.lexsort((key, -what, -size))  # as ``swept`` sorts
+        size, what, key = size[order], what[order], key[order]
+        pieces, gaps = brackets(what == GAP)
+        out.append((key[pieces], key[gaps], capacity - size[gaps]))
+        left = np.ones(len(size), dtype=bool)
+        left[pieces] = left[gaps] = False
+        rest, free = np.flatnonzero(left & (what == PIECE)), np.flatnonzero(left & (what == GAP))
+        if not len(rest):
+            return tuple(np.concatenate(c) for c in zip(*out))
+        ids, sizes = key[rest], size[rest]
+        seq, room = np.concatenate([key[free], key[gaps]]), np.concatenate([size[free], size[gaps] - size[pieces]])
+        if len(pieces) <= RARE * len(rest) or room.max(initial=0) < sizes[-1]:
+            sequences, each = int(-(-sizes.sum() // capacity)), int(max(1, capacity // sizes[0] - 2))
+            *new, more, total = dealt_here(ids, sizes, sequences, each, opened)
+            out.append(tuple(new))
+            opened += sequences
+            ids, sizes = ids[len(new[0]) :], sizes[len(new[0]) :]
+            seq, room = np.concatenate([seq, more]), np.concatenate([room, capacity - total])
+        serves = room >= max(1, sizes[-1] if len(sizes) else capacity)
+        size, key = np.concatenate([sizes, room[serves]]), np.concatenate([ids, seq[serves]])
+        what = np.repeat(np.asarray([PIECE, GAP]), [len(sizes), int(serves.sum())])
+
+
+def finished(items: DataFrame, capacity: int, opened: int) -> DataFrame:
+    """``(id, seq, offset)`` of all waiting pieces, from one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns] for b in batches if b.num_rows]
+        if held:
+            found = rounds_here(*(np.concatenate(c) for c in zip(*held)), capacity, opened)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["id", "seq", "offset"])
+
+    return cut(items.select("size", "what", "id").repartition(1).mapInArrow(run, "id long, seq long, offset long"))
+
+
 def best_fit(pieces: DataFrame, capacity: int = CAPACITY, length_column: str = "length") -> DataFrame:
     """The rows of ``pieces`` with ``sequence_id`` and ``offset``.
 
@@ -254,7 +309,11 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, length_column: str = "
     gaps = keyed.where(opener & (n < capacity)).select(F.col(row).alias("id"), (capacity - n).cast("int").alias("size"))
     waiting = keyed.where(~opener).select(F.col(row).alias("id"), n.cast("int").alias("size"))
     placed, opened = [empty], 0
+    count = keyed.where(~opener | (n < capacity)).count()
     while True:
+        if count <= ONE_TASK:
+            placed.append(finished(_items(waiting, gaps), capacity, opened))
+            break
         found = swept(_items(waiting, gaps))
         seen = {r.part: r.summary for r in found.where(F.col("what") == SUMMARY).select("part", "summary").collect()}
         runs, served = matched_runs([(part, x[1], x[2]) for part, x in seen.items()])
@@ -290,7 +349,8 @@ def best_fit(pieces: DataFrame, capacity: int = CAPACITY, length_column: str = "
             used = new.groupBy("seq").agg((capacity - F.sum("size")).cast("int").alias("size")).where("size > 0")
             gaps = gaps.union(used.select(F.col("seq").alias("id"), "size"))
             waiting = ranked.where(F.col("rank") >= sequences * each)
-        waiting = waiting.select("id", "size")
+        waiting, gaps = waiting.select("id", "size"), gaps.select("id", "size")
+        count = _items(waiting, gaps).count()
     own = keyed.where(opener).withColumns({seq: F.col(row), offset: F.lit(0).cast("long")})
     rest = reduce(DataFrame.union, placed).toDF(row, seq, offset)
     rest = keyed.where(~opener).join(rest, row)

@@ -161,6 +161,39 @@ def test_sweeps():
         assert found == want and sum(served.values()) == sum(r[-1] for r in runs)
 
 
+@pytest.mark.parametrize("most", [0, 900, 1 << 17])
+def test_packing_goes_on_in_one_task(spark, monkeypatch, most):
+    """From no round on, from a later one, and from the first: as tight, each piece once."""
+    monkeypatch.setattr(packing, "ONE_TASK", most)
+    rng = np.random.default_rng(9)
+    sizes = np.concatenate([rng.integers(1, 1025, 700), rng.integers(1, 60, 400), np.full(300, 77)]).tolist()
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length long")
+    got = packing.best_fit(df).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == list(enumerate(sizes))
+    assert check_packing(got, 1024) <= 1.01 * -(-sum(sizes) // 1024) + 1
+    small = packing.best_fit(df.where("length = 77")).collect()  # no gaps at first
+    assert len(small) == sizes.count(77) and check_packing(small, 1024) <= -(-len(small) // 13) + 1
+
+
+def test_few_pieces_take_few_jobs(spark):
+    """However many partitions shuffles have: rounds of few rows don't go by partitions."""
+    df = spark.range(600).selectExpr("id AS doc_id", "1 + id * 37 % 1000 AS length")
+    sc, tasks = spark.sparkContext, 0
+    spark.conf.set("spark.sql.shuffle.partitions", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sc.setJobGroup("few pieces", "few pieces")
+    try:
+        assert len(packing.best_fit(df).collect()) == 600
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for job in sc.statusTracker().getJobIdsForGroup("few pieces"):
+        stages = map(sc.statusTracker().getStageInfo, sc.statusTracker().getJobInfo(job).stageIds)
+        tasks += sum(s.numCompletedTasks for s in stages if s)
+    assert 0 < tasks <= 1000
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_is_tight(spark, seed):
     rng = np.random.default_rng(seed)
