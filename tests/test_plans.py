@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from covenant import queries
+from covenant.functions import jsons
 
 QUERIES, _ = queries.load()
 
@@ -55,3 +57,12 @@ def test_no_products(spark, small, name):
         return  # they run jobs of their own; their joins are equi-joins of the operators tested above
     text = plan(QUERIES[name](spark, small))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin Inner" not in text
+
+
+def test_functions_of_one_projection_share_a_python_worker(spark, small):
+    assert len(re.findall(r"^\(\d+\) ArrowEvalPython", plan(QUERIES["fn_json_edit"](spark, small)), re.M)) == 1
+
+
+def test_a_function_of_a_function_shares_its_worker(spark):
+    text = plan(spark.range(1).select(jsons.insert(jsons.remove(F.col("id").cast("string"), "$.a"), "$.b", 1)))
+    assert len(re.findall(r"^\(\d+\) ArrowEvalPython", text, re.M)) == 1
