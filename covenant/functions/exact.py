@@ -9,10 +9,11 @@ sorted and shuffled like any string.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from decimal import MAX_EMAX, MIN_EMIN, Context, Decimal, Inexact, localcontext
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -235,15 +236,24 @@ def dec_sum(df: DataFrame, keys: list[str], column: str, alias: str, before: int
     return sums.select(*keys, joined(*(F.col(f"_limb{i}") for i in range(before + after))).alias(alias))
 
 
-@F.pandas_udf(StringType())
-def _nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for t in texts:
-        yield t.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+#: Texts that are Python strings at one time while a batch is normalised.
+NFC_SLICE = 64
+
+
+@F.arrow_udf(StringType())
+def _nfc(texts: pa.Array) -> pa.Array:
+    done = []
+    for at in range(0, len(texts), NFC_SLICE):
+        part = texts.slice(at, NFC_SLICE)
+        done.append(part if part.null_count == len(part) else pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in part.to_pylist()], texts.type))
+    return pa.concat_arrays(done) if done else texts
 
 
 def nfc(x: Column | str) -> Column:
-    """Normalisation form C; texts of ASCII alone are their own."""
-    return _nfc(_c(x))
+    """Normalisation form C; texts of ASCII alone are their own and don't go to Python."""
+    x = _c(x)
+    ascii = F.octet_length(x) == F.char_length(x)
+    return F.when(ascii, x).otherwise(_nfc(F.when(~ascii, x)))
 
 
 # ---- conversions ------------------------------------------------------------

@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import re
+import tracemalloc
+import unicodedata
 from decimal import Decimal, localcontext
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -85,6 +89,21 @@ def test_nfc(spark):
     assert spark.range(1).select(exact.nfc(F.lit("café"))).first()[0] == "café"
 
 
+def test_nfc_keeps_nulls_and_ascii_and_holds_a_slice_of_a_batch(spark):
+    texts = [None, "", "plain", "e\u0301", "\u212b", "\u1100\u1161", "a\u0328\u0301"] * 100
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string").select("i", exact.nfc("x").alias("y"))
+    assert [r.y for r in df.orderBy("i").collect()] == [None if x is None else unicodedata.normalize("NFC", x) for x in texts]
+    shown = df._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"_nfc\(CASE WHEN .*octet_length", shown)  # ASCII goes by as null
+    batch = pa.array(["e\u0301" * 2000] * 4000 + [None])
+    tracemalloc.start()
+    try:
+        done, peak = exact._nfc.func(batch), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert done.to_pylist() == ["\u00e9" * 2000] * 4000 + [None] and peak < 5e6
+
+
 def test_dialect(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     h = F.lit("hello")
