@@ -471,7 +471,10 @@ def cte_plain(spark: SparkSession, d: str) -> DataFrame:
         SELECT part, count(*) AS n, max(depth) AS depth FROM up GROUP BY part"""
 )
 def cte_recursive(spark: SparkSession, d: str) -> DataFrame:
-    """Ancestors by halving: the recursion is bounded by its depth."""
+    """Ancestors by halving: the recursion is bounded by its depth.
+
+    Each round joins by a shuffle: a broadcast would send the parts to the driver anew in every round.
+    """
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     return spark.sql(
         """WITH RECURSIVE up(part, node, depth) AS (
@@ -479,7 +482,7 @@ def cte_recursive(spark: SparkSession, d: str) -> DataFrame:
                UNION ALL SELECT up.part, p.p_partkey, up.depth + 1 FROM up JOIN {part} p ON p.p_partkey = up.node div 2
                    WHERE up.node > 1 AND up.depth < 20)
            SELECT part, count(*) AS n, max(depth) AS depth FROM up GROUP BY part""",
-        part=table(spark, d, "part").select("p_partkey"),
+        part=table(spark, d, "part").select("p_partkey").hint("merge"),
     )
 
 

@@ -66,3 +66,9 @@ def test_functions_of_one_projection_share_a_python_worker(spark, small):
 def test_a_function_of_a_function_shares_its_worker(spark):
     text = plan(spark.range(1).select(jsons.insert(jsons.remove(F.col("id").cast("string"), "$.a"), "$.b", 1)))
     assert len(re.findall(r"^\(\d+\) ArrowEvalPython", text, re.M)) == 1
+
+
+def test_recursion_joins_by_a_shuffle(spark, small):
+    """Its rounds are planned as they run; a broadcast in each goes through the driver."""
+    text = QUERIES["cte_recursive"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, .*rightHint=\(strategy=merge\)", text)
