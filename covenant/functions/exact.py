@@ -103,24 +103,35 @@ def normalized_number(x: Column | str) -> Column:
     return F.when(is_number(x), _with_parts(x, text)).otherwise(x)
 
 
+def once(x: Column | str, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a column that is worked out once, however often ``f`` names it: bound by a one-element transform."""
+    return F.get(F.transform(F.array(_c(x)), f), F.lit(0))
+
+
 def instant_key(x: Column | str) -> Column:
-    """A key by the instant a timestamp names, to any fraction; other texts after, by bytes."""
+    """A key by the instant a timestamp names, to any fraction; other texts after, by bytes.
+
+    The text is named several times: one that takes long to make is bound by :func:`once`.
+    """
     x = _c(x)
     second = F.concat(F.upper(F.substring(x, 1, 19)), F.upper(F.regexp_extract(x, TIMESTAMP, 2)))
     at = F.unix_seconds(F.try_to_timestamp(second, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
-    fraction = F.regexp_replace(F.regexp_extract(x, TIMESTAMP, 1), "0+$", "")
-    fraction = F.when(fraction == ".", "").otherwise(fraction)
+    fraction = F.rtrim(F.rtrim(F.regexp_extract(x, TIMESTAMP, 1), F.lit("0")), F.lit("."))
+    # null where no instant is named, as a part of it is
     key = F.concat(F.lit("1"), F.lpad((at + F.lit(SECONDS_BIAS)).cast("string"), 12, "0"), fraction)
-    return F.when(x.isNull(), None).when(x.rlike(TIMESTAMP) & at.isNotNull(), key).otherwise(F.concat(F.lit("2"), x))
+    return F.coalesce(F.when(x.rlike(TIMESTAMP), key), F.concat(F.lit("2"), x))
 
 
 def utc(x: Column | str) -> Column:
     """A timestamp's text in UTC, as keys spell it; other texts as they are."""
     x = _c(x)
-    key = instant_key(x)
-    seconds = F.substring(key, 2, 12).try_cast("long") - F.lit(SECONDS_BIAS)
-    text = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss")
-    return F.when(key.startswith("1"), F.concat(text, F.substring(key, F.lit(14), F.char_length(key)), F.lit("Z"))).otherwise(x)
+
+    def text(key: Column) -> Column:
+        seconds = F.substring(key, 2, 12).try_cast("long") - F.lit(SECONDS_BIAS)
+        shown = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss")
+        return F.when(key.startswith("1"), F.concat(shown, F.substring(key, F.lit(14), F.char_length(key)), F.lit("Z")))
+
+    return F.coalesce(once(instant_key(x), text), x)
 
 
 NUMERIC_TYPES = {"int", "integer", "float", "number", "decimal"}

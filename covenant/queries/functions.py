@@ -169,9 +169,10 @@ def val_instant_compare(spark: SparkSession, d: str) -> DataFrame:
     local = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(hours=zone - 12)
     offset = F.format_string("%s%02d:00", F.when(zone < 12, "-").otherwise("+"), F.abs(zone - 12))
     text = F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), offset)
-    key = exact.instant_key(text)
-    low, high = exact.instant_key(F.lit("1998-01-01T00:00:00Z")), exact.instant_key(F.lit("1998-02-01T02:00:00+02:00"))
-    return table(spark, d, "orders").where((key >= low) & (key < high)).select("o_orderkey", (F.col("o_orderkey") % 24).alias("zone"))
+    low, high = (F.lit(exact.instant_key_of(t)) for t in ("1998-01-01T00:00:00Z", "1998-02-01T02:00:00+02:00"))
+    # a filter works out a text or key wherever it is named
+    within = exact.once(text, lambda t: exact.once(exact.instant_key(t), lambda key: (key >= low) & (key < high)))
+    return table(spark, d, "orders").where(within).select("o_orderkey", (F.col("o_orderkey") % 24).alias("zone"))
 
 
 @query("SELECT o_orderkey, CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) AS plain FROM orders")

@@ -72,3 +72,8 @@ def test_recursion_joins_by_a_shuffle(spark, small):
     """Its rounds are planned as they run; a broadcast in each goes through the driver."""
     text = QUERIES["cte_recursive"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Join Inner, .*rightHint=\(strategy=merge\)", text)
+
+
+def test_a_filter_by_instants_makes_each_text_once(spark, small):
+    text = QUERIES["val_instant_compare"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("date_format(") == 1 and text.count("format_string(") == 1 and text.count("gettimestamp(") == 1

@@ -85,6 +85,17 @@ def test_lossless(spark, value, source, target, want):
     assert got == want
 
 
+ODD = ["2024-01-01T10:00:00Z", "2024-01-01t10:00:00z", "2024-01-01T10:00:00.000Z", "2024-01-01T10:00:00.5000+02:00", "2024-01-01T10:00:00.0050-00:00",
+       "2024-02-30T10:00:00Z", "2024-01-01T24:00:00Z", "2024-01-01T10:00:00+18:00", "0001-01-01T00:00:00.10Z", "9999-12-31T23:59:59.999999999999-12:00",
+       "2024-01-01T10:00:00", "not a time", "", "100", None]
+
+
+def test_instant_keys_of_odd_texts(spark):
+    found = spark.createDataFrame([(i, x) for i, x in enumerate(ODD)], "i int, x string").select("i", exact.instant_key("x").alias("k"), exact.utc("x").alias("u")).orderBy("i").collect()
+    assert [r.k for r in found] == [None if x is None else exact.instant_key_of(x) for x in ODD]
+    assert found[3].u == "2024-01-01T08:00:00.5Z" and [r.u for r in found[10:]] == ODD[10:] and found[5].u == ODD[5]
+
+
 def test_nfc(spark):
     assert spark.range(1).select(exact.nfc(F.lit("café"))).first()[0] == "café"
 
