@@ -253,11 +253,15 @@ NFC_SLICE = 64
 
 @F.arrow_udf(StringType())
 def _nfc(texts: pa.Array) -> pa.Array:
-    done = []
+    done, changed = [], False
     for at in range(0, len(texts), NFC_SLICE):
         part = texts.slice(at, NFC_SLICE)
-        done.append(part if part.null_count == len(part) else pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in part.to_pylist()], texts.type))
-    return pa.concat_arrays(done) if done else texts
+        before = part.to_pylist()
+        after = [None if x is None else unicodedata.normalize("NFC", x) for x in before]
+        if after != before:
+            part, changed = pa.array(after, texts.type), True
+        done.append(part)
+    return pa.concat_arrays(done) if changed else texts
 
 
 def nfc(x: Column | str) -> Column:
